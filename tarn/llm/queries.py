@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import language_id, line_dedup, packing, token_counts
+from tarn.llm import language_id, line_dedup, minhash_dedup, packing, token_counts
 from tarn.llm.common import documents, fold_of
 
 
@@ -27,6 +27,11 @@ def op7_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.classify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return minhash_dedup.near_duplicates(docs, shingle=2, percent=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.with_token_counts(documents(spark, sf_dir).select("doc_id", "text"))
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -50,7 +55,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_power_of_two_packing, op5_run_merge_line_dedup, op7_compression_language_id, op9_rank_synchronous_token_counts)}
+    return {f.__name__: f for f in (op1_power_of_two_packing, op5_run_merge_line_dedup, op7_compression_language_id, op8_hyperminhash_near_dedup, op9_rank_synchronous_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
