@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import language_id, line_dedup, minhash_dedup, packing, token_counts
+from tarn.llm import decontamination, language_id, line_dedup, minhash_dedup, packing, token_counts
 from tarn.llm.common import documents, fold_of
 
 
@@ -16,6 +16,10 @@ def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op3_minhash_containment_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_run_merge_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
@@ -55,7 +59,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_power_of_two_packing, op5_run_merge_line_dedup, op7_compression_language_id, op8_hyperminhash_near_dedup, op9_rank_synchronous_token_counts)}
+    return {f.__name__: f for f in (op1_power_of_two_packing, op3_minhash_containment_decontamination, op5_run_merge_line_dedup, op7_compression_language_id, op8_hyperminhash_near_dedup, op9_rank_synchronous_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
