@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import decontamination, language_id, line_dedup, minhash_dedup, packing, token_counts
-from tarn.llm.common import documents, fold_of
+from tarn.llm import decontamination, language_id, line_dedup, lm_scoring, minhash_dedup, packing, token_counts
+from tarn.llm.common import documents, fold_of, shared_dir
 
 
 def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,13 @@ def op3_minhash_containment_decontamination(spark: SparkSession, sf_dir: str) ->
     return decontamination.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_log_frequency_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", (fold_of("doc_id", 5) == 1).alias("held_out"))
+    path = shared_dir(spark)
+    model = lm_scoring.train(docs.where(~F.col("held_out")), f"{path}/model")
+    return lm_scoring.score(docs, model, path=path).drop("text")
+
+
 def op5_run_merge_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
@@ -59,7 +66,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_power_of_two_packing, op3_minhash_containment_decontamination, op5_run_merge_line_dedup, op7_compression_language_id, op8_hyperminhash_near_dedup, op9_rank_synchronous_token_counts)}
+    return {f.__name__: f for f in (op1_power_of_two_packing, op3_minhash_containment_decontamination, op4_log_frequency_bloom_lm, op5_run_merge_line_dedup, op7_compression_language_id, op8_hyperminhash_near_dedup, op9_rank_synchronous_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
