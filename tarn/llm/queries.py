@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import decontamination, language_id, line_dedup, lm_scoring, minhash_dedup, packing, token_counts
+from tarn.llm import decontamination, language_id, line_dedup, lm_scoring, minhash_dedup, packing, span_dedup, token_counts
 from tarn.llm.common import documents, fold_of, shared_dir
 
 
@@ -48,6 +48,11 @@ def op9_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataF
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 
 
+def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return span_dedup.dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, i, line, translate(trim(line, E' \t\n\x0b\x0c\r'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
@@ -66,7 +71,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_power_of_two_packing, op3_minhash_containment_decontamination, op4_log_frequency_bloom_lm, op5_run_merge_line_dedup, op7_compression_language_id, op8_hyperminhash_near_dedup, op9_rank_synchronous_token_counts)}
+    return {f.__name__: f for f in (op1_power_of_two_packing, op3_minhash_containment_decontamination, op4_log_frequency_bloom_lm, op5_run_merge_line_dedup, op7_compression_language_id, op8_hyperminhash_near_dedup, op9_rank_synchronous_token_counts, op10_sentence_span_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

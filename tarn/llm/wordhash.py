@@ -49,11 +49,11 @@ def _pow_tables() -> list[np.ndarray]:
     return _powers
 
 
-def _hash_chunk(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of data, and where each begins; no word crosses an index of starts_at."""
+def _hash_chunk(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of data, where each begins and ends; no word crosses an index of starts_at."""
     n = len(data)
     if not n:
-        return np.empty(0, _U), np.empty(0, np.int64)
+        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
     power, inverse = _pow_tables()
     solid = ~_SPACE[data]
     first = solid.copy()
@@ -68,34 +68,34 @@ def _hash_chunk(data: np.ndarray, starts_at: np.ndarray) -> tuple[np.ndarray, np
     ends = np.flatnonzero(last) + 1
     sums = np.zeros(n + 1, _U)
     np.cumsum(_TABLE[data] * power[:n], out=sums[1:])
-    return mix((sums[ends] - sums[begins]) * inverse[begins]), begins
+    return mix((sums[ends] - sums[begins]) * inverse[begins]), begins, ends
 
 
-def _hash_long(data: np.ndarray) -> np.ndarray:
-    """One text of any length: cut at white space into chunks. A single word
+def _hash_long(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One text of any length, cut at white space into chunks. A single word
     longer than a chunk is hashed piece by piece and the pieces are combined."""
-    parts, at, carry = [], 0, None
-    n = len(data)
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    n, at, open_word = len(data), 0, False
     while at < n:
         to = min(n, at + CHUNK)
         if to < n:
             spaces = np.flatnonzero(_SPACE[data[at:to]])
             if len(spaces):
                 to = at + int(spaces[-1]) + 1
-        h, begins = _hash_chunk(data[at:to], np.zeros(1, np.int64))
-        if carry is not None and len(h) and begins[0] == 0:
-            h[0] = mix(h[0] + carry * _U(_BASE))
-            carry = None
-        elif carry is not None:
-            parts.append(np.array([carry], _U))
-            carry = None
-        if to < n and len(h) and not _SPACE[data[to - 1]]:
-            carry, h = h[-1], h[:-1]
-        parts.append(h)
+        h, begins, ends = _hash_chunk(data[at:to], np.zeros(1, np.int64))
+        begins, ends = begins + at, ends + at
+        if open_word and len(h) and begins[0] == at:  # goes on from the last chunk
+            was, b, e = parts[-1]
+            was[-1:] = mix(was[-1:] * _U(_BASE) + h[0])
+            e[-1] = ends[0]
+            h, begins, ends = h[1:], begins[1:], ends[1:]
+        if len(h):
+            parts.append((h, begins, ends))
+        open_word = not _SPACE[data[to - 1]]
         at = to
-    if carry is not None:
-        parts.append(np.array([carry], _U))
-    return np.concatenate(parts) if parts else np.empty(0, _U)
+    if not parts:
+        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,27 +108,33 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), at
 
 
-def word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Yields (lo, hi, hashes, offsets): the words of texts[lo:hi], those of
-    text lo + j at hashes[offsets[j]:offsets[j + 1]]."""
+def located_words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Yields (lo, hi, hashes, offsets, begins, ends): the words of texts[lo:hi],
+    those of text lo + j at offsets[j]:offsets[j + 1]; begins and ends are places
+    in the bytes of `buffers(texts)`."""
     if not len(texts):
         return
     data, at = buffers(texts)
     lo = 0
     while lo < len(texts):
-        hi = int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1
+        hi = min(int(np.searchsorted(at, at[lo] + CHUNK, "right")) - 1, len(texts))
         if hi <= lo:  # one text that is longer than a chunk
-            h = _hash_long(data[at[lo] : at[lo + 1]])
-            yield lo, lo + 1, h, np.array([0, len(h)])
+            h, begins, ends = _hash_long(data[at[lo] : at[lo + 1]])
+            yield lo, lo + 1, h, np.array([0, len(h)]), begins + at[lo], ends + at[lo]
             lo += 1
             continue
-        hi = min(hi, len(texts))
         edge = at[lo : hi + 1] - at[lo]
-        h, begins = _hash_chunk(data[at[lo] : at[hi]], edge[:-1])
-        yield lo, hi, h, np.searchsorted(begins, edge)
+        h, begins, ends = _hash_chunk(data[at[lo] : at[hi]], edge[:-1])
+        yield lo, hi, h, np.searchsorted(begins, edge), begins + at[lo], ends + at[lo]
         lo = hi
 
 
+def word_hashes(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As located_words, without places."""
+    for found in located_words(texts):
+        yield found[:4]
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words; a shorter, not empty sequence is one run."""
     if 0 < len(words) < n:
