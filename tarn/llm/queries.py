@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import decontamination, language_id, line_dedup, lm_scoring, minhash_dedup, packing, span_dedup, token_counts
-from tarn.llm.common import documents, fold_of, shared_dir
+from tarn.llm import decontamination, fingerprints, language_id, line_dedup, lm_scoring, minhash_dedup, packing, span_dedup, token_counts, training_order
+from tarn.llm.common import NULL_ID, documents, fold_of, shared_dir
 
 
 def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,22 @@ def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op2_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = fingerprints.edited(documents(spark, sf_dir).select("doc_id", "text"))
+    own, changed, other = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return both.select(
+        F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(own).alias("fingerprint"),
+        fingerprints.as_text(changed).alias("edited_fingerprint"),
+        fingerprints.resemblance(own, changed).alias("near_edited"),
+        fingerprints.resemblance(own, other).alias("near_next"),
+        fingerprints.containment(own, changed).alias("contained_in_edited"),
+        fingerprints.distinct_shingles(own).alias("distinct_shingles"),
+    )
+
+
 def op3_minhash_containment_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -32,6 +48,14 @@ def op5_run_merge_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_feistel_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path, per_shard, length, key = documents(spark, sf_dir).select("doc_id", "text"), shared_dir(spark), 4096, 2048, 20240229
+    manifest = training_order.plan(docs, f"{path}/manifest", length=length)
+    rows, first, total = training_order.ordered(manifest, key=key, per_shard=per_shard, record=training_order.stride(length))
+    training_order.write_shards(docs, first, total, f"{path}/shards", key=key, length=length, per_shard=per_shard)
+    return rows
+
+
 def op7_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (fold_of("doc_id", 4) == 2).alias("held_out"))
     model = language_id.fit(docs.where(~F.col("held_out")))
@@ -71,7 +95,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_power_of_two_packing, op3_minhash_containment_decontamination, op4_log_frequency_bloom_lm, op5_run_merge_line_dedup, op7_compression_language_id, op8_hyperminhash_near_dedup, op9_rank_synchronous_token_counts, op10_sentence_span_dedup)}
+    return {f.__name__: f for f in (op1_power_of_two_packing, op2_bottom_k_fingerprints, op3_minhash_containment_decontamination, op4_log_frequency_bloom_lm, op5_run_merge_line_dedup, op6_feistel_training_order, op7_compression_language_id, op8_hyperminhash_near_dedup, op9_rank_synchronous_token_counts, op10_sentence_span_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
