@@ -1,2 +1,74 @@
-STAGES = []
+"""A corpus pipeline: five stages from raw documents to packed token pieces.
+
+Each stage is a function of (spark, docs, sf_dir). All but the last return the
+columns of ``documents``; ``n_chars`` follows the text. Stages work on all rows
+of what the one before kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.llm import decontamination, language_id, line_dedup, minhash_dedup, packing
+from tarn.llm.common import documents, saved, shared_dir
+
+#: Texts whose two best languages are nearer to each other than this are
+#: rejected: totals of compressed bytes that are all but equal.
+NARROW = 0.0005
+
+
+def _like_documents(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in columns])
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter, or with a narrow margin of languages."""
+    model = language_id.fit(docs)
+    judged = language_id.classify(docs, model, pred="_lang", score="_margin")
+    return judged.where(language_id.accepted(NARROW, pred="_lang", score="_margin")).drop("_lang", "_margin")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines stay in the first document that holds them; documents of which only
+    white space is left go."""
+    done = line_dedup.dedup_lines(docs)
+    done = done.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return _like_documents(done, docs.columns)
+
+
+def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays."""
+    return minhash_dedup.near_duplicates(docs).where("kept").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths, with their ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("minhash_near_dedup", dedup_near_copies),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+#: SQL can't express compression, banded registers, or byte-pair encoding.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the table documents; each stage's rows are written once."""
+    docs, path = documents(spark, sf_dir), shared_dir(spark)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = saved(docs, f"{path}/{k}")
+    return docs
