@@ -389,7 +389,7 @@ def merge_plan(s, items: list[Item]):
             raise DialectError("NOT MATCHED BY SOURCE is not supported")
         c.accept("by", "target")
         then = find(c.items, "then", start=c.i)
-        condition = s.expression(c.items[c.i + 1 : then]) if c.accept("and") else None
+        condition = s.expression(c.items[c.i : then]) if c.accept("and") else None
         c.i = then + 1
         if c.accept("delete"):
             clauses.append(Clause(matched, "delete", condition))

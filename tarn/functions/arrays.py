@@ -75,5 +75,5 @@ def _zip(args: list[str]) -> str:
 
 
 register("arrays_zip", _zip)
-templates("array_max", _1="to_json(array_max(cast(try_parse_json({0}) as array<double>)))")
-templates("array_min", _1="to_json(array_min(cast(try_parse_json({0}) as array<double>)))")
+templates("array_max", _1="cast(array_max(cast(try_parse_json({0}) as array<double>)) as string)")
+templates("array_min", _1="cast(array_min(cast(try_parse_json({0}) as array<double>)) as string)")

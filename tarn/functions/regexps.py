@@ -1,6 +1,8 @@
 """Regular expression functions. Patterns are Java's; groups in replacements may
 be written ``\\1``. Parameters: c (case), i (no case), m, s; e takes group 1."""
 
+import re
+
 from tarn.functions.registry import constant, register, same
 
 same("regexp_count")
@@ -51,7 +53,7 @@ def _match(args: list[str]) -> str:
 def _replace(args: list[str]) -> str:
     pattern, _ = _pattern(args, 5)
     new = _arg(args, 2, "''")
-    new = f"regexp_replace({new}, '\\\\\\\\([0-9])', '\\\\$$1')" if "\\" in new else new
+    new = re.sub(r"\\{1,2}([0-9])", r"$\1", new)
     where, nth = _arg(args, 3, "1"), _arg(args, 4, "0")
     if nth.strip() == "0":
         return f"regexp_replace({args[0]}, {pattern}, {new}, {where})"
