@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.common import bounded_batches, row_key
 from tarn.llm.wordhash import grams, mix, word_hashes
 
 HASHES = 48
@@ -75,55 +76,65 @@ class ItemBlock:
                         owners.append(k)
         order = np.argsort(np.array(keys, _U), kind="stable")
         self.keys, self.owners = np.array(keys, _U)[order], np.array(owners, np.int64)[order]
+        #: By the low bits of a key, whether there may be such a key.
+        self.maybe = np.zeros(1 << max(16, (len(keys) * 64).bit_length()), bool)
+        self.maybe[(self.keys & _U(len(self.maybe) - 1)).astype(np.int64)] = True
         self.short = {m: (np.array([h for h, _ in v], _U), np.array([k for _, k in v])) for m, v in short.items()}
 
-    def _window_keys(self, shingles: np.ndarray) -> np.ndarray:
-        """Keys of all windows of all classes that occur."""
-        out = []
+    def _hits(self, shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, last, items): ranges of shingles whose windows share minima with items."""
+        if not len(self.keys) or not len(shingles):
+            return
         top = max(self.classes)
         for i in range(HASHES):
             level = _values(shingles, i)  # minima of blocks of 2**0 shingles
-            p = 0
-            while p <= top:
+            for p in range(top + 1):
                 # blocks of 2**(p + 1): half of the windows of class p
                 if len(level) % 2:
                     level = np.append(level, level[-1])
                 level = np.minimum(level[0::2], level[1::2])
-                if p in self.classes:
-                    windows = np.minimum(level[:-1], level[1:]) if len(level) > 1 else level
-                    windows = windows[np.append(True, windows[1:] != windows[:-1])]
-                    out.append(_key(windows, i, p))
-                p += 1
-        return np.concatenate(out)
-
-    def candidates(self, words: np.ndarray, shingles: np.ndarray) -> set[int]:
-        found: set[int] = set()
-        if len(self.keys) and len(words) >= self.n:
-            probe = self._window_keys(shingles)
-            lo = np.searchsorted(self.keys, probe)
-            hit = np.unique(probe[(lo < len(self.keys)) & (self.keys[np.minimum(lo, len(self.keys) - 1)] == probe)])
-            for a, b in zip(np.searchsorted(self.keys, hit, "left"), np.searchsorted(self.keys, hit, "right")):
-                found.update(self.owners[a:b].tolist())
+                if p not in self.classes:
+                    continue
+                windows = np.minimum(level[:-1], level[1:]) if len(level) > 1 else level
+                probe = _key(windows, i, p)
+                at = np.flatnonzero(self.maybe[(probe & _U(len(self.maybe) - 1)).astype(np.int64)])
+                lo = np.searchsorted(self.keys, probe[at], "left")
+                hi = np.searchsorted(self.keys, probe[at], "right")
+                for w, a, b in zip(at[hi > lo], lo[hi > lo], hi[hi > lo]):
+                    yield int(w) << p + 1, int(w) + 2 << p + 1, self.owners[a:b]
+
+    def matches(self, words: np.ndarray, at: np.ndarray, percent: int) -> Iterator[tuple[int, int, int]]:
+        """(text, item, shared shingles) of the items of which a text has at least
+        percent / 100. The shingles of all texts stand end to end; a window that
+        holds parts of several texts only leads to more to verify."""
+        n = self.n
+        texts = np.diff(at)
+        each = np.maximum(texts - n + 1, 0)
+        edge = np.append(0, np.cumsum(each))
+        if len(words) >= n:
+            whole = np.ones(len(words) - n + 1, bool)
+            for k in range(1, n):  # runs that would cross the end of a text
+                cut = at[1:-1] - k
+                whole[cut[(cut >= 0) & (cut < len(whole))]] = False
+            shingles = grams(words, n)[whole]
+        else:
+            shingles = np.empty(0, _U)
+        found: set[tuple[int, int]] = set()
+        for first, last, items in self._hits(shingles):
+            lo = int(np.searchsorted(edge, first, "right")) - 1
+            hi = int(np.searchsorted(edge, min(last, len(shingles)), "left"))
+            found.update((d, k) for d in range(lo, hi) if each[d] for k in items.tolist())
+        here, text = None, -1
+        for d, k in sorted(found):
+            if d != text:
+                here, text = np.unique(shingles[edge[d] : edge[d + 1]]), d
+            own = int(np.isin(self.sets[k], here, assume_unique=True).sum())
+            if 100 * own >= percent * len(self.sets[k]):
+                yield d, k, own
         for m, (hashes, owners) in self.short.items():
-            if len(words) >= m:
-                found.update(owners[np.isin(hashes, grams(words, m))].tolist())
-        return found
-
-    def matches(self, words: np.ndarray, percent: int) -> list[tuple[int, int]]:
-        """(item, shared shingles) of items with at least percent / 100 of their shingles here."""
-        shingles = grams(words, self.n)
-        out = []
-        if found := self.candidates(words, shingles):
-            here = np.unique(shingles)
-            for k in sorted(found):
-                s = self.sets[k]
-                own = len(s) if len(s) and self._is_short(k) else int(np.isin(s, here, assume_unique=True).sum())
-                if 100 * own >= percent * len(s):
-                    out.append((k, own))
-        return out
-
-    def _is_short(self, k: int) -> bool:
-        return any(k in owners for _, owners in self.short.values())
+            for d in np.flatnonzero(texts >= m):
+                for k in owners[np.isin(hashes, grams(words[at[d] : at[d + 1]], m))].tolist():
+                    yield int(d), k, 1
 
 
 def _item_blocks(items: DataFrame, item_id: str, text: str, chars: int) -> Iterator[list[tuple[int | None, str]]]:
@@ -142,6 +153,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     """One row (doc_id, item_id, item_shingles, shared, containment) for each
     document and item of which it holds at least percent / 100 of the shingles."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     schema = "doc_id long, item_id long, item_shingles long, shared long, containment double"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
@@ -154,9 +166,8 @@ def find_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
                 ids = batch.column(0).to_pylist()
                 got: list[tuple] = []
                 for lo, hi, words, at in word_hashes(batch.column(1)):
-                    for j in range(hi - lo):
-                        for k, n in own.matches(words[at[j] : at[j + 1]], percent):
-                            got.append((ids[lo + j], own.ids[k], len(own.sets[k]), n, n / len(own.sets[k])))
+                    for d, k, n in own.matches(words, at, percent):
+                        got.append((ids[lo + d], own.ids[k], len(own.sets[k]), n, n / len(own.sets[k])))
                 if got:
                     cols = list(zip(*got))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 4 else pa.int64()) for i, c in enumerate(cols)], ["doc_id", "item_id", "item_shingles", "shared", "containment"])
@@ -168,7 +179,5 @@ def find_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
 
 def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """docs without the rows in which an item is found."""
-    from tarn.llm.common import row_key
-
     dirty = find_items(docs.withColumn("_id", row_key()), items, doc_id="_id", **how).select(F.col("doc_id").alias("_id")).distinct()
     return docs.withColumn("_id", row_key()).join(dirty, "_id", "left_anti").drop("_id")
