@@ -41,6 +41,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps what goes to a Python worker at once small, whatever the texts'
+    lengths: 2,000 rows and 8 MB at most, unless the session has set less."""
+    for name, most in (("maxRecordsPerBatch", 2000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarn.llm.common import bounded_batches
+
 UNDETERMINED = "und"
 #: Bytes compressed at once, the effort, and the shortest match.
 PIECE, LEVEL, MIN_MATCH = 2048, 12, 3
@@ -56,6 +58,7 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", dict_bytes:
 def classify(docs: DataFrame, model: dict[str, bytes], *, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the columns pred and score added. The model is as large as its
     dictionaries, at most ``dict_bytes`` a language, and travels by broadcast."""
+    bounded_batches(docs.sparkSession)
     names = sorted(model)
     shared = docs.sparkSession.sparkContext.broadcast([model[k] for k in names])
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import NULL_ID, remove, row_key, saved, shared_dir
+from tarn.llm.common import NULL_ID, bounded_batches, remove, row_key, saved, shared_dir
 from tarn.llm.components import components
 from tarn.llm.wordhash import grams, mix, word_hashes
 
@@ -220,6 +220,7 @@ def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, path: str | N
     for each document; edges (a, b) between representatives have exactly the
     components of all links of at least percent / 100."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     path = path or shared_dir(spark)
     threshold = percent / 100
     sigs = saved(signatures(docs, shingle=shingle, threshold=threshold), f"{path}/signatures")
@@ -230,6 +231,7 @@ def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, path: str | N
     reps = digests.select(F.col("rep").alias("id"))
     bands = sigs.where("n_shingles > 0").join(reps, "id", "left_semi").select("id", F.explode("bands").alias("band")).distinct()
     keys = bands.groupBy("band").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last").select("band", "centre")
+    keys = saved(keys, f"{path}/keys")  # so that both sides of the join are plain shuffles, which AQE can split
     holders = saved(bands.join(keys, "band").select("band", "centre", "id"), f"{path}/holders")
     remove(spark, f"{path}/signatures")
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.bpe_files import encoder
+from tarn.llm.common import bounded_batches
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -41,6 +42,7 @@ def pack(docs: DataFrame, *, max_len: int = 2048, end_id: int = 1, stem: str = "
     end id, ``bucket`` the logarithm of its length."""
     if max_len & (max_len - 1):
         raise ValueError("max_len must be a power of two")
+    bounded_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

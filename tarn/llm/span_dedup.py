@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import row_key, saved, shared_dir
+from tarn.llm.common import bounded_batches, row_key, saved, shared_dir
 from tarn.llm.wordhash import buffers, located_words, mix
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
@@ -207,6 +207,7 @@ def repeated_spans(docs: DataFrame, path: str, *, min_sentences: int, min_words:
     seen = saved(_occurrences(docs, shared, min_sentences, min_words).distinct(), f"{path}/seen")
     place = F.struct("id", "tag", "first", "last")
     firsts = seen.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("h1", "h2", "f")
+    firsts = saved(firsts, f"{path}/firsts")  # so that both sides of the join are plain shuffles, which AQE can split
     later = seen.join(firsts, ["h1", "h2"]).where(place > F.col("f"))
     own = (F.col("id") == F.col("f.id")) & (F.col("tag") == F.col("f.tag"))
     begins = F.when(own, F.greatest("first", "f.last")).otherwise(F.col("first"))
@@ -215,6 +216,7 @@ def repeated_spans(docs: DataFrame, path: str, *, min_sentences: int, min_words:
 
 def dedup_spans(docs: DataFrame, *, text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """docs with `text` rewritten and n_sentences and n_removed added."""
+    bounded_batches(docs.sparkSession)
     path = shared_dir(docs.sparkSession)
     whole = docs.withColumns({"_id": row_key(), "_tag": F.xxhash64(text), "_text": F.col(text).cast("string")})
     plain = whole.select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col("_text").alias("text"))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarn.llm.bpe_files import vocabulary
+from tarn.llm.common import bounded_batches
 
 #: The pattern of byte-level BPE (a fixed value), with white space spelled out.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -150,6 +151,7 @@ def counter(name: str) -> Counter:
 
 def with_token_counts(docs: DataFrame, *, text: str = "text", out: str = "n_tokens", name: str = "byte_bpe_50k.json") -> DataFrame:
     """docs with a column of token counts for the vocabulary file `name`."""
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf(T.LongType())
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

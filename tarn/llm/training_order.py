@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.bpe_files import encoder
-from tarn.llm.common import saved
+from tarn.llm.common import bounded_batches, saved
 from tarn.llm.wordhash import mix
 
 ROUNDS = 6
@@ -87,6 +87,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def plan(docs: DataFrame, path: str, *, length: int = 2048, end_id: int | None = None, stem: str = "byte_bpe_50k") -> DataFrame:
     """First pass: a row (task, number, n_ids, doc_ids, ids_crc32) per sequence, saved at path."""
+    bounded_batches(docs.sparkSession)
     dtype, end = _dtype(stem), _end(stem, end_id)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,6 +154,7 @@ def finished(spark, path: str) -> list[int]:
 
 def write_shards(docs: DataFrame, first: dict[int, tuple[int, int]], total: int, path: str, *, key: int, length: int = 2048, per_shard: int = 4096, end_id: int | None = None, stem: str = "byte_bpe_50k") -> None:
     """Second pass: writes the shards that aren't in the folder yet."""
+    bounded_batches(docs.sparkSession)
     dtype, end = _dtype(stem), _end(stem, end_id)
     done = np.array(finished(docs.sparkSession, path), np.int64)
     n_shards = -(-total // per_shard)
