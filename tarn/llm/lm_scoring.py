@@ -1,7 +1,7 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Counting. Workers hash the tokens of whole training texts, sum up equal
-unigrams and bigrams of about two million tokens, and send them as sorted
+unigrams and bigrams of about a million tokens, and send them as sorted
 arrays, dealt by the top bits of the hash to segments; one task a segment adds
 them up. A segment keeps exact unigram counts, and a Bloom filter of its
 bigrams: a count c is quantised to 1 + floor(log(c) / log(STEP)) and the bigram
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import remove, saved, shared_dir
+from tarn.llm.common import bounded_batches, remove, saved, shared_dir
 from tarn.llm.wordhash import mix, word_hashes
 
 #: Ratio of neighbouring quantisation levels, probes of a membership test and
@@ -43,7 +43,7 @@ from tarn.llm.wordhash import mix, word_hashes
 STEP, PROBES = 1.5, 6
 BITS = PROBES / math.log(2)
 #: Tokens summed up before they are sent, and entries meant for a segment.
-AT_ONCE, PER_SEGMENT = 2_000_000, 3_000_000
+AT_ONCE, PER_SEGMENT = 1_000_000, 500_000
 BLOCK_BYTES = 256 << 20
 WEIGHT = 0.4
 
@@ -104,6 +104,7 @@ def _filter(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 def train(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
     """The model: a row per segment (segment, tokens, types, words, counts, filter)."""
+    bounded_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shift = max(6, (size // 3 // PER_SEGMENT).bit_length())  # some three bytes of text an entry
 
@@ -113,7 +114,7 @@ def train(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
         held = 0
         edges = np.arange(1, 1 << shift, dtype=_U) << _U(64 - shift)
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             cols = []
             for x in (ones, twos):
                 keys = np.concatenate(x)
@@ -121,7 +122,10 @@ def train(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
                 cut = np.append(np.append(0, np.searchsorted(keys, edges)), len(keys))
                 cols.append([keys[a:b].tobytes() for a, b in zip(cut, cut[1:])])
                 cols.append([counts[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:])])
-            return pa.RecordBatch.from_arrays([pa.array(range(1 << shift), pa.int32())] + [pa.array(c, pa.binary()) for c in cols], ["segment", "k1", "c1", "k2", "c2"])
+            # Small batches: the JVM's buffers for large ones aren't given back.
+            for a in range(0, 1 << shift, 64):
+                part = [c[a : a + 64] for c in cols]
+                yield pa.RecordBatch.from_arrays([pa.array(range(a, a + len(part[0])), pa.int32())] + [pa.array(c, pa.binary()) for c in part], ["segment", "k1", "c1", "k2", "c2"])
 
         for batch in batches:
             for _, _, words, at in word_hashes(batch.column(0)):
@@ -130,10 +134,10 @@ def train(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
                 twos.append(_pair(before, tokens))
                 held += len(tokens)
                 if held >= AT_ONCE:
-                    yield flush()
+                    yield from flush()
                     ones, twos, held = [], [], 0
         if ones:
-            yield flush()
+            yield from flush()
 
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         def whole(k: str, c: str) -> tuple[np.ndarray, np.ndarray]:
@@ -150,18 +154,17 @@ def train(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
 
 
 class ModelBlock:
-    """Neighbouring segments of a model, for look-ups."""
+    """Neighbouring segments of a model, for look-ups. The arrays are views of
+    the bytes that came by broadcast, so a worker holds them once."""
 
-    def __init__(self, shift: int, rows: list[tuple[int, bytes, bytes, bytes]]):
+    def __init__(self, shift: int, segments: list[int], words: bytes, counts: bytes, bits: bytes, sizes: list[int]):
         self._shift = shift
-        self._words = np.concatenate([np.frombuffer(r[1], _U) for r in rows])
-        self._counts = np.concatenate([np.frombuffer(r[2], np.int64) for r in rows])
-        self._bits = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-        size = [len(r[3]) * 8 for r in rows]
+        self._words, self._counts = np.frombuffer(words, _U), np.frombuffer(counts, np.int64)
+        self._bits = np.frombuffer(bits, np.uint8)
         self._size = np.zeros((1 << shift) + 1, _U)
         self._start = np.zeros((1 << shift) + 1, _U)
-        for (segment, *_), n, at in zip(rows, size, np.append(0, np.cumsum(size))):
-            self._size[segment], self._start[segment] = n, at
+        for segment, n, at in zip(segments, sizes, np.append(0, np.cumsum(sizes))):
+            self._size[segment], self._start[segment] = n * 8, at * 8
 
     def counts(self, words: np.ndarray) -> np.ndarray:
         """Exact counts of words; 0 for what other blocks hold."""
@@ -204,6 +207,7 @@ def _blocks(model: DataFrame, block_bytes: int) -> list[tuple[int, int]]:
 def score(docs: DataFrame, model: DataFrame, *, text: str = "text", weight: float = WEIGHT, block_bytes: int = BLOCK_BYTES, path: str | None = None) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score added."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     total = model.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), F.max("segment").alias("top")).first()
     n, v = total["n"] or 0, total["v"] or 0
     shift = ((total["top"] or 0)).bit_length() or 6
@@ -211,9 +215,7 @@ def score(docs: DataFrame, model: DataFrame, *, text: str = "text", weight: floa
     blocks = _blocks(model, block_bytes) or [(0, 0)]
     state = docs.withColumns({"_c1": F.lit(None).cast("binary"), "_q2": F.lit(None).cast("binary")})
     for k, (lo, hi) in enumerate(blocks):
-        rows = [tuple(r) for r in model.where(F.col("segment").between(lo, hi)).select("segment", "words", "counts", "filter").orderBy("segment").toLocalIterator()]
-        shared = spark.sparkContext.broadcast((shift, rows))
-        del rows
+        shared = _broadcast_block(model.where(F.col("segment").between(lo, hi)), shift)
         found = _pass(state, text, shared, n, v, weight, last=k == len(blocks) - 1)
         if k < len(blocks) - 1:
             found = saved(found, f"{path}/pass{k}")
@@ -223,6 +225,19 @@ def score(docs: DataFrame, model: DataFrame, *, text: str = "text", weight: floa
     return state
 
 
+def _broadcast_block(segments: DataFrame, shift: int):
+    """A block's arrays end to end, gathered a segment at a time."""
+    at, sizes = [], []
+    words, counts, bits = bytearray(), bytearray(), bytearray()
+    for r in segments.select("segment", "words", "counts", "filter").orderBy("segment").toLocalIterator():
+        at.append(r["segment"])
+        sizes.append(len(r["filter"]))
+        words += r["words"]
+        counts += r["counts"]
+        bits += r["filter"]
+    return segments.sparkSession.sparkContext.broadcast((shift, at, words, counts, bits, sizes) if at else None)
+
+
 def _pass(docs: DataFrame, text: str, shared, n: int, v: int, weight: float, *, last: bool) -> DataFrame:
     result = "struct<c1: binary, q2: binary, n_tokens: long, n_known: long, base_score: double, score: double>"
     kind = pa.struct([("c1", pa.binary()), ("q2", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -230,8 +245,7 @@ def _pass(docs: DataFrame, text: str, shared, n: int, v: int, weight: float, *,
 
     @F.arrow_udf(result)
     def look_up(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        shift, rows = shared.value
-        block = ModelBlock(shift, rows) if rows else None
+        block = ModelBlock(*shared.value) if shared.value else None
         for texts, old_c1, old_q2 in batches:
             out = []
             for lo, hi, words, at in word_hashes(texts):
