@@ -224,7 +224,7 @@ def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, path: str | N
     path = path or shared_dir(spark)
     threshold = percent / 100
     sigs = saved(signatures(docs, shingle=shingle, threshold=threshold), f"{path}/signatures")
-    digests = sigs.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"))
+    digests = saved(sigs.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep")), f"{path}/digests")
     classes = sigs.select("id", "n_shingles", "d1", "d2").join(digests, ["d1", "d2"], "left")
     classes = saved(classes.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep")).distinct(), f"{path}/classes")
 
@@ -288,7 +288,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", shingle: int = 5, pe
     classes, edges = links(docs.select(row_key().alias("id"), F.col(text).cast("string").alias("text")), shingle=shingle, percent=percent, path=path)
     comps = components(edges)
     found = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    found = saved(found.select(F.col("id").alias("_id"), "n_shingles", F.coalesce("component", "rep").alias("component_id")), f"{path}/found")
+    found = saved(found.select(F.col("id").alias("_id"), "n_shingles", F.coalesce("component", "rep").alias("component_id")), shared_dir(spark))
+    remove(spark, path)
     # Rows of one id with different texts are one document: the smallest component holds.
     found = found.groupBy("_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     out = docs.withColumn("_id", row_key()).join(found, "_id", "left")
