@@ -56,14 +56,12 @@ def _dateadd(args: list[str]) -> str:
     part, n, x = part_of(args[0]), args[1], args[2]
     if part == "nanosecond":
         part, n = "microsecond", f"cast(({n}) div 1000 as int)"
-    added = f"timestampadd({part.upper()}, cast({n} as int), {x})"
-    if part in ("year", "quarter", "month", "week", "day"):
-        # A date stays one; Spark's typeof is folded while the query is planned.
-        whole = {"year": 12, "quarter": 3, "month": 1}.get(part)
-        plain = x.strip().lower()
-        if plain.startswith(("to_date(", "cast(") ) and plain.endswith(("as date)",)) or plain.startswith(("date '", "date'", "current_date", "make_date(", "last_day(", "next_day(")):
-            return f"add_months({x}, cast({n} as int) * {whole})" if whole else f"date_add({x}, cast({n} as int) * {7 if part == 'week' else 1})"
-    return added
+    # Sums with whole days, months or years keep a date a date.
+    unit = {"year": ("YEAR", 1), "quarter": ("MONTH", 3), "month": ("MONTH", 1), "week": ("DAY", 7), "day": ("DAY", 1)}.get(part)
+    if unit is None or x.strip().startswith("'"):
+        return f"timestampadd({part.upper()}, cast({n} as int), {x})"
+    times = f" * {unit[1]}" if unit[1] > 1 else ""
+    return f"({x} + cast(cast({n} as int){times} as interval {unit[0]}))"
 
 
 def _date_trunc(args: list[str]) -> str:

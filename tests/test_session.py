@@ -91,6 +91,15 @@ def test_catalog(s):
         s.execute("USE DATABASE other")
 
 
+def test_upload_and_results(s):
+    from tarn.sources import results
+
+    assert s.upload("up", b"a,b\n1,x\n2,y\n") == 2 and s.upload("up", b"b,a\nz,3\n") == 1
+    df = s.execute("SELECT a, b FROM up ORDER BY a")
+    assert list(results.json_rows(df)) == [["1", "x"], ["2", "y"], ["3", "z"]] and len(results.arrow_base64(df)) > 100
+    assert results.columns(df)[1] == {"name": "b", "type": "VARCHAR", "nullable": True}
+
+
 def test_flatten_rows():
     assert steps("a.b[0]['k x']") == ["a", "b", 0, "k x"]
     assert list(flatten_rows('{"a":[1,{"b":2}]}', recursive=True)) == [("a", "a", None, '[1,{"b":2}]', '{"a":[1,{"b":2}]}'), (None, "a[0]", 0, "1", '[1,{"b":2}]'), (None, "a[1]", 1, '{"b":2}', '[1,{"b":2}]'), ("b", "a[1].b", None, "2", '{"b":2}')]
