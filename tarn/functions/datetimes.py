@@ -147,7 +147,7 @@ register("date_format", _date_format)
 
 def _time_slice(args: list[str]) -> str:
     x, n, part = args[0], args[1], part_of(args[2])
-    return f"window(cast({x} as timestamp), concat({n}, ' {part}')).start"
+    return f"window(cast({x} as timestamp), '{int(n)} {part}').start"
 
 
 register("time_slice", _time_slice)

@@ -29,7 +29,7 @@ both("pop_back", _1="slice({0}, 1, greatest(0, size({0}) - 1))")
 both("pop_front", _1="slice({0}, 2, greatest(0, size({0}) - 1))")
 both("positions", _2="filter(transform({0}, (x, i) -> if(x <=> {1}, i + 1, NULL)), i -> i IS NOT NULL)")
 both("push_back", _2="array_append({0}, {1})")
-both("push_front", _2="array_prepend({1}, {0})")
+both("push_front", _2="array_prepend({0}, {1})")
 both("remove_all", _2="array_remove({0}, {1})")
 _COUNT_TO = "size(filter(slice({0}, 1, i + 1), y -> y <=> {1}))"
 both("remove_n", _3=f"filter({{0}}, (x, i) -> NOT (x <=> {{1}} AND {_COUNT_TO} <= {{2}}))")
