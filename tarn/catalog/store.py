@@ -7,6 +7,7 @@ to the old one and takes its name when it is complete.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tarn.dialect.lexer import DialectError
 
 
+def plain(name: str) -> str:
+    """A name that Spark takes: characters beyond letters, digits and _ by their code."""
+    return re.sub(r"\W", lambda m: f"_x{ord(m[0]):x}_", name)
+
+
+def spelled(name: str) -> str:
+    """The name that `plain` was given."""
+    return re.sub(r"_x([0-9a-f]+)_", lambda m: chr(int(m[1], 16)), name)
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, database: str = "main", schema: str = "public"):
         self.spark = spark
@@ -27,12 +38,13 @@ class Catalog:
 
     @staticmethod
     def spark_database(database: str, schema: str) -> str:
-        return f"{database}__{schema}"
+        return f"{plain(database)}__{plain(schema)}"
 
     def schemas(self, database: str | None = None) -> list[tuple[str, str]]:
         out = []
         for d in self.spark.catalog.listDatabases():
             db, mark, schema = d.name.partition("__")
+            db, schema = spelled(db), spelled(schema)
             if mark and db in self.databases and (database is None or db == database):
                 out.append((db, schema))
         return sorted(out)
@@ -44,7 +56,7 @@ class Catalog:
         return self.has_schema(*full[:2]) and self.spark.catalog.tableExists(self.sql_name(full))
 
     def sql_name(self, full: tuple[str, str, str]) -> str:
-        return f"`{self.spark_database(*full[:2])}`.`{full[2]}`"
+        return f"`{self.spark_database(*full[:2])}`.`{plain(full[2])}`"
 
     # Definitions
 
@@ -119,6 +131,6 @@ class Catalog:
         out = []
         for db, s in self.schemas(database):
             if schema is None or s == schema:
-                out += [(db, s, t.name, "TABLE") for t in self.spark.catalog.listTables(self.spark_database(db, s)) if not t.isTemporary]
+                out += [(db, s, spelled(t.name), "TABLE") for t in self.spark.catalog.listTables(self.spark_database(db, s)) if not t.isTemporary]
         out += [(*k, "VIEW") for k in self.views if (database is None or k[0] == database) and (schema is None or k[1] == schema)]
         return sorted(out)

@@ -204,6 +204,7 @@ def drop(s, items: list[Item]) -> DataFrame:
 
 def alter(s, items: list[Item]) -> DataFrame:
     r = Reader(items)
+    r.accept("iceberg")
     if r.accept("session"):
         unset = r.accept("unset")
         if not unset:
@@ -255,6 +256,9 @@ def set_variables(s, items: list[Item]) -> DataFrame:
     k = next((i for i, t in enumerate(items) if t.is_op("=")), -1)
     if k < 0:
         raise DialectError("SET needs =")
+    if len(items) > 1 and items[1].is_op("."):  # a dotted name is an engine setting
+        s.settings[render(items[:k]).lower()] = unquote(items[k + 1].text) if items[k + 1].kind == "string" else render(items[k + 1 :])
+        return s.status(OK)
     names = [name_of(n[0]) for n in split(items[0].items)] if isinstance(items[0], Group) else [name_of(items[0])]
     right = items[k + 1 :]
     if isinstance(items[0], Group) and len(right) == 1 and isinstance(right[0], Group) and not right[0].items[0].is_word("select"):
@@ -499,6 +503,8 @@ def show(s, items: list[Item]) -> DataFrame:
             df = df.where(F.col("table_name") == where[-1])
     elif kind == "variables":
         df, name = _rows(s, ("name", "value", "type"), [(k.upper(), str(v), type(v).__name__) for k, v in sorted(s.variables.items())]), "name"
+    elif kind == "parameters":
+        df, name = _rows(s, ("key", "value", "default", "level", "description", "type"), [(k.upper(), v, None, "SESSION", None, "STRING") for k, v in sorted(s.settings.items())]), "key"
     elif kind == "primary keys":
         return _rows(s, ("created_on", "database_name", "schema_name", "table_name", "column_name", "key_sequence", "constraint_name", "rely", "comment"), [])
     else:

@@ -116,3 +116,52 @@ def test_dataframe_operators(spark):
     assert {tuple(r) for r in relational.salted_sum(df, ["k"], "v", "s").collect()} == {("a", 4), ("b", 2)}
     assert relational.grouping_sets(df, [["k"], []], F.sum("v").alias("s")).count() == 3
     assert relational.unpivot(df, "x", "n", ["v"]).count() == 3
+
+
+STATEMENTS = [
+    ("SELECT column1 FROM VALUES (910), (256) WHERE column1 LIKE '%56'", [(256,)]),
+    ("SELECT CASE WHEN a IS NULL THEN 1 ELSE 2 END::varchar AS q FROM (SELECT 1 a)", [("2",)]),
+    ("SELECT substr('mystring', -3), substr(12345, 2, 3), substr('mystring', NULL, 3), len(NULL), sha2(NULL)", [("ing", "234", None, None, None)]),
+    ("SELECT listagg(name, ', ') WITHIN GROUP (ORDER BY name DESC) FROM (VALUES ('b'), ('a')) AS t(name)", [("b, a",)]),
+    ("SELECT value, key FROM FLATTEN(INPUT => parse_json('[]'), OUTER => TRUE) f", [(None, None)]),
+    ("SELECT a, ROW_NUMBER() OVER (PARTITION BY a ORDER BY b DESC) rn FROM VALUES (1, 2), (1, NULL) AS t(a, b) QUALIFY rn = 1", [(1, 1)]),
+    ("SELECT t.value:name::string n FROM (SELECT f.value FROM (SELECT parse_json('[{\"name\":\"q\"}]') j), LATERAL FLATTEN(j) f) t", [("q",)]),
+    ("WITH s AS (SELECT 'S1' AS sid, 1 AS st, 1 AS us UNION ALL SELECT 'S2', 5, 1) SELECT us AS st, max(CASE WHEN st = us THEN sid END) AS f FROM s GROUP BY us", [(1, "S1")]),
+    ("SELECT 1 UNION ALL SELECT 2 ORDER BY 1 DESC LIMIT 1", [(2,)]),
+    ("SELECT k, max(v) FILTER (WHERE v < 3) AS m FROM VALUES ('a', 1), ('a', 5) AS t(k, v) GROUP BY ALL", [("a", 1)]),
+    ("SELECT (SELECT 3) + 1 AS m, -1 AS neg, 'a' || 'b' AS cc, 5 % 3 AS md", [(4, -1, "ab", 2)]),
+]
+
+
+@pytest.mark.parametrize("sql, want", STATEMENTS)
+def test_statements(spark, sql, want):
+    assert rows(Session(spark).execute(sql)) == want
+
+
+def test_quoted_names(s):
+    s.execute('CREATE SCHEMA main."odd schema"; CREATE TABLE main."odd schema"."odd table" (id INT) AS VALUES (1), (2)')
+    assert rows(s.execute('SELECT max(id) FROM main."odd schema"."odd table"')) == [(2,)]
+    assert [r[1] for r in rows(s.execute('SHOW TABLES IN main."odd schema"'))] == ["odd table"]
+    s.execute('DROP SCHEMA main."odd schema"')
+
+
+def test_stage_and_null_columns(s, tmp_path):
+    (tmp_path / "x.csv").write_text("id,name\n1,a\n2,\n")
+    s.execute(f"CREATE STAGE st URL = 'file://{tmp_path}/x.csv' FILE_FORMAT = (TYPE = CSV SKIP_HEADER = 1 PARSE_HEADER = true)")
+    assert rows(s.execute("SELECT id, name FROM @st ORDER BY id")) == [(1, "a"), (2, None)]
+    s.execute("CREATE TABLE n AS SELECT NULL AS c; INSERT INTO n VALUES ('x'); CREATE TABLE loaded (id INT, name VARCHAR); COPY INTO loaded FROM @st")
+    assert rows(s.execute("SELECT c FROM n ORDER BY c")) == [("x",), (None,)]
+    assert rows(s.execute("SELECT count(*) FROM loaded")) == [(2,)]
+
+
+def test_stream_of_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tarn.streaming import events
+
+    rows_ = spark.range(200).select(F.timestamp_seconds(F.col("id") * 60 + 1700000000).alias("ts"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("event_type"), F.col("id").cast("double").alias("value"))
+    rows_.repartition(3).write.parquet(f"{tmp_path}/in")
+    out = events.windowed(events.stream(spark, f"{tmp_path}/in", rows_.schema, per_trigger=1), late="10 days")
+    events.to_table(out, "stream_test", f"{tmp_path}/cp", mode="complete")
+    want = {tuple(r) for r in events.windowed(rows_).collect()}
+    assert {tuple(r) for r in spark.table("stream_test").collect()} == want
