@@ -89,6 +89,8 @@ def classify(docs: DataFrame, model: dict[str, bytes], *, text: str = "text", pr
                 sure[i] = 1.0 if not rest else 1 - sizes[k] / min(rest)
             yield pd.DataFrame({"p": best, "s": sure})
 
+    # Not deterministic in name, so that no filter copies the call below itself.
+    judge = judge.asNondeterministic()
     names_col = F.array(*[F.lit(x) for x in names]) if names else F.array(F.lit(UNDETERMINED))
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     out = docs.withColumn("_judged", judge(F.when(lettered, F.col(text))))

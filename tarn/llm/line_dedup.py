@@ -17,10 +17,13 @@ lose all lines remain with an empty text. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import remove, row_key, shared_dir
+from tarn.llm.common import bounded_batches, remove, row_key, shared_dir
 from tarn.llm.first_seen import RunStore, batch_step
 
 #: Documents are ranked into this many batches by default.
@@ -70,21 +73,51 @@ def dropped_lines(docs: DataFrame, path: str, *, text: str = "text", min_chars:
     return out
 
 
+def _hash_in_python(key: bytes) -> tuple[int, int]:
+    """What _key_hashes gives for a key: Spark's xxhash64 is xxHash64 with seed 42,
+    and a first argument's hash is the next one's seed."""
+    import xxhash
+
+    def signed(x: int) -> int:
+        return x - (1 << 64) if x >> 63 else x
+
+    return signed(xxhash.xxh64_intdigest(key, 42)), signed(xxhash.xxh64_intdigest(key, _SEED_OF_ONE))
+
+
+#: xxhash64(1), as a seed.
+_SEED_OF_ONE = -6698625589789238999 % (1 << 64)
+
+
 def dedup_lines(docs: DataFrame, *, text: str = "text", min_chars: int = 10, batches: int = BATCHES) -> DataFrame:
     """docs with `text` rewritten and the columns n_lines and n_dropped added."""
+    bounded_batches(docs.sparkSession)
     gone = dropped_lines(docs, shared_dir(docs.sparkSession), text=text, min_chars=min_chars, batches=batches)
     per_doc = gone.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("id", "_id")
-    joined = docs.withColumn("_id", row_key()).join(per_doc, "_id", "left")
 
-    def stays(line: Column) -> Column:
-        h1, h2 = _key_hashes(line)
-        return ~(F.array_contains("_gone", F.struct(h1.alias("h1"), h2.alias("h2"))) & (F.length(line_key(line)) >= min_chars))
-
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
-    out = joined.withColumn("_lines", lines).withColumn("_kept", kept)
-    return out.withColumns({
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"),
-    }).drop("_id", "_gone", "_lines", "_kept")
+    @F.arrow_udf("struct<text: string, n: long, dropped: long>")
+    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, gone in batches:
+            out = []
+            for t, g in zip(texts, gone):
+                lines = (t.as_py() or "").split("\n")
+                kept = lines
+                if g.is_valid:
+                    drop = {(x["h1"], x["h2"]) for x in g.as_py()}
+
+                    def stays(line: str) -> bool:
+                        key = line.encode().strip(b" \t\n\x0b\x0c\r").lower()
+                        return len(key.decode()) < min_chars or _hash_in_python(key) not in drop
+
+                    kept = [x for x in lines if stays(x)]
+                out.append({"text": "\n".join(kept) if len(kept) < len(lines) else None, "n": len(lines), "dropped": len(lines) - len(kept)})
+            yield pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int64()), ("dropped", pa.int64())]))
+
+    # Not deterministic in name, so that no filter copies the call below itself.
+    cut = cut.asNondeterministic()
+    joined = docs.withColumn("_id", row_key()).join(per_doc, "_id", "left")
+    done = joined.withColumn("_cut", cut(F.col(text).cast("string"), "_gone"))
+    return done.withColumns({
+        text: F.when(F.col("_cut.dropped") > 0, F.col("_cut.text")).otherwise(F.col(text)),
+        "n_lines": F.col("_cut.n"),
+        "n_dropped": F.col("_cut.dropped"),
+    }).drop("_id", "_gone", "_cut")

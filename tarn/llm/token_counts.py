@@ -170,4 +170,6 @@ def with_token_counts(docs: DataFrame, *, text: str = "text", out: str = "n_toke
             got += own.count(held)
             yield pd.Series(got, dtype="int64")
 
+    # Not deterministic in name, so that no filter copies the call below itself.
+    counted = counted.asNondeterministic()
     return docs.withColumn(out, counted(F.col(text).cast("string")))
