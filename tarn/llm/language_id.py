@@ -34,7 +34,7 @@ UNDETERMINED = "und"
 PIECE, LEVEL, MIN_MATCH = 2048, 12, 3
 
 
-def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", dict_bytes: int = 16 << 10, docs_per_language: int = 128, snippet_chars: int = 1500) -> dict[str, bytes]:
+def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", dict_bytes: int = 48 << 10, docs_per_language: int = 128, snippet_chars: int = 1500) -> dict[str, bytes]:
     """Dictionaries by language. At most about 3 * docs_per_language snippets
     per language reach the driver, whatever the size of docs."""
     rows = docs.select(F.col(text).alias("t"), F.col(label).cast("string").alias("l")).where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))

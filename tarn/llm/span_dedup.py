@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded_batches, row_key, saved, shared_dir
+from tarn.llm.common import NULL_ID, bounded_batches, row_key, saved, shared_dir
 from tarn.llm.wordhash import buffers, located_words, mix
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
@@ -200,7 +200,8 @@ def _occurrences(docs: DataFrame, shared, min_sentences: int, min_words: int) ->
 
 
 def repeated_spans(docs: DataFrame, path: str, *, min_sentences: int, min_words: int, filter_bytes: int) -> DataFrame:
-    """(id, tag, first, last): sentences that a non-first occurrence covers, for docs (id, tag, text)."""
+    """(id, tag, first, last, of): sentences that a non-first occurrence covers, and
+    the document of the first one, for docs (id, tag, text)."""
     spark = docs.sparkSession
     repeated = _hashes(docs, min_sentences, min_words).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
     shared = spark.sparkContext.broadcast(_repeat_filter(saved(repeated, f"{path}/repeated"), filter_bytes))
@@ -211,17 +212,19 @@ def repeated_spans(docs: DataFrame, path: str, *, min_sentences: int, min_words:
     later = seen.join(firsts, ["h1", "h2"]).where(place > F.col("f"))
     own = (F.col("id") == F.col("f.id")) & (F.col("tag") == F.col("f.tag"))
     begins = F.when(own, F.greatest("first", "f.last")).otherwise(F.col("first"))
-    return later.select("id", "tag", begins.alias("first"), "last").where("first < last").distinct()
+    return later.select("id", "tag", begins.alias("first"), "last", F.col("f.id").alias("of")).where("first < last").distinct()
 
 
 def dedup_spans(docs: DataFrame, *, text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """docs with `text` rewritten and n_sentences and n_removed added."""
+    """docs with `text` rewritten and n_sentences, n_removed and repeats_of added:
+    the ids of the documents that hold what was removed (a null id is left out)."""
     bounded_batches(docs.sparkSession)
     path = shared_dir(docs.sparkSession)
     whole = docs.withColumns({"_id": row_key(), "_tag": F.xxhash64(text), "_text": F.col(text).cast("string")})
     plain = whole.select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col("_text").alias("text"))
     gone = repeated_spans(plain, path, min_sentences=min_sentences, min_words=min_words, filter_bytes=filter_bytes)
-    per_doc = gone.groupBy("id", "tag").agg(F.collect_list(F.array("first", "last")).alias("_gone"))
+    of = F.array_sort(F.collect_set(F.when(F.col("of") != NULL_ID, F.col("of"))))
+    per_doc = gone.groupBy("id", "tag").agg(F.collect_set(F.array("first", "last")).alias("_gone"), of.alias("_of"))
     per_doc = per_doc.withColumnsRenamed({"id": "_id", "tag": "_tag"})
 
     @F.arrow_udf("struct<text: string, n: long, removed: long>")
@@ -245,9 +248,12 @@ def dedup_spans(docs: DataFrame, *, text: str = "text", min_sentences: int = MIN
                     out.append({"text": raw.tobytes().decode(), "n": len(after), "removed": int(drop.sum())})
             yield pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int64()), ("removed", pa.int64())]))
 
+    # Not deterministic in name, so that no filter copies the call below itself.
+    cut = cut.asNondeterministic()
     done = whole.join(per_doc, ["_id", "_tag"], "left").withColumn("_cut", cut("_text", "_gone"))
     return done.withColumns({
         text: F.when(F.col("_cut.removed") > 0, F.col("_cut.text")).otherwise(F.col(text)),
         "n_sentences": F.col("_cut.n"),
         "n_removed": F.col("_cut.removed"),
-    }).drop("_id", "_tag", "_text", "_gone", "_cut")
+        "repeats_of": F.coalesce("_of", F.array().cast("array<long>")),
+    }).drop("_id", "_tag", "_text", "_gone", "_of", "_cut")

@@ -223,7 +223,7 @@ def test_language_of_held_out_texts(spark):
 
 def test_language_of_odd_tables(odd, none):
     model = language_id.fit(odd)
-    assert set(model) == {"en", "de", "fr"} and all(len(x) <= 16 << 10 for x in model.values())
+    assert set(model) == {"en", "de", "fr"} and all(len(x) <= 48 << 10 for x in model.values())
     out = language_id.classify(odd, model, score="sure")
     assert out.count() == odd.count()
     got = {r.doc_id: r.lang_pred for r in out.where("doc_id is not null").collect()}
@@ -322,11 +322,13 @@ def test_a_shared_passage_goes_but_once(spark):
     docs = [(k, f"{filler(900 + k, 30)}. {passage} {filler(950 + k, 30)}.") for k in range(4)] + [(9, f"{filler(999, 40)}. {filler(998, 40)}.")]
     got = by_id(span_dedup.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string")), "n_removed", "text")
     assert got[0][0] == 0 and got[9][0] == 0 and all(got[k][0] == 6 and passage not in got[k][1] for k in (1, 2, 3))
+    ids = by_id(span_dedup.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string")), "repeats_of")
+    assert ids[2] == ([0],) and ids[0] == ids[9] == ([],)
     few = by_id(span_dedup.dedup_spans(spark.createDataFrame(docs, "doc_id long, text string"), filter_bytes=1024), "n_removed", "text")
     assert few == got
 
 
 def test_spans_of_odd_tables(odd, none):
     out = span_dedup.dedup_spans(odd)
-    assert out.columns == [*odd.columns, "n_sentences", "n_removed"] and out.count() == odd.count()
+    assert out.columns == [*odd.columns, "n_sentences", "n_removed", "repeats_of"] and out.count() == odd.count()
     assert span_dedup.dedup_spans(none).count() == 0
