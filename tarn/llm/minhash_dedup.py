@@ -51,7 +51,7 @@ LARGE = 8 * M
 #: of exp(-2x) over mean cell widths.
 BY_CHANCE = 0.18 * 2.0**-MANTISSA
 #: Shingles in a block of the last comparison.
-BLOCK = 150_000
+BLOCK = 40_000
 
 _U = np.uint64
 _SALT = mix(np.arange(1, M + 1, dtype=_U))
