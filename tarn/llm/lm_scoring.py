@@ -159,7 +159,8 @@ class ModelBlock:
 
     def __init__(self, shift: int, segments: list[int], words: bytes, counts: bytes, bits: bytes, sizes: list[int]):
         self._shift = shift
-        self._words, self._counts = np.frombuffer(words, _U), np.frombuffer(counts, np.int64)
+        self._words = np.frombuffer(words, _U)
+        self._counts = np.frombuffer(counts, np.uint32 if len(counts) < len(words) else np.int64)
         self._bits = np.frombuffer(bits, np.uint8)
         self._size = np.zeros((1 << shift) + 1, _U)
         self._start = np.zeros((1 << shift) + 1, _U)
@@ -172,7 +173,7 @@ class ModelBlock:
             return np.zeros(len(words), np.int64)
         some, back = np.unique(words, return_inverse=True)
         at = np.minimum(np.searchsorted(self._words, some), len(self._words) - 1)
-        return np.where(self._words[at] == some, self._counts[at], 0)[back]
+        return np.where(self._words[at] == some, self._counts[at].astype(np.int64), 0)[back]
 
     def levels(self, pairs: np.ndarray) -> np.ndarray:
         """The levels up to which the filter holds the pairs."""
@@ -235,6 +236,10 @@ def _broadcast_block(segments: DataFrame, shift: int):
         words += r["words"]
         counts += r["counts"]
         bits += r["filter"]
+    wide = np.frombuffer(counts, np.int64)
+    if len(wide) and wide.max() < 1 << 32:
+        counts = bytearray(wide.astype(np.uint32).tobytes())
+    del wide
     return segments.sparkSession.sparkContext.broadcast((shift, at, words, counts, bits, sizes) if at else None)
 
 
@@ -273,6 +278,8 @@ def _pass(docs: DataFrame, text: str, shared, n: int, v: int, weight: float, *,
                 out += [{"n_tokens": int(b - a), "n_known": int((c1[a:b] > 0).sum()), "base_score": float(base[a:b].sum()), "score": float(best[a:b].sum())} for a, b in zip(starts, starts[1:])]
             yield pa.array(out, kind)
 
+    # Not deterministic in name, so that no filter copies the call below itself.
+    look_up = look_up.asNondeterministic()
     got = docs.withColumn("_got", look_up(F.col(text).cast("string"), F.col("_c1"), F.col("_q2")))
     if not last:
         return got.withColumns({"_c1": F.col("_got.c1"), "_q2": F.col("_got.q2")}).drop("_got")
