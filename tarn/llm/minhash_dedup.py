@@ -198,8 +198,9 @@ def _block_links(percent: int):
         for i, label, raw in zip(ask["id"], ask["label"], ask["shingles"]):
             own = np.frombuffer(raw, _U)
             at = np.searchsorted(names, own)
-            at = at[at < len(names)]
-            at = at[np.isin(names[at], own, assume_unique=True)]
+            ok = at < len(names)
+            own_in, at = own[ok], at[ok]
+            at = at[names[at] == own_in]  # absent shingles point at their successors
             mark[at] = True
             shared = np.add.reduceat(mark[flat].astype(np.int64), starts)
             mark[at] = False

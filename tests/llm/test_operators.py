@@ -262,6 +262,32 @@ def test_sets_of_either_scheme_and_blocks(spark, monkeypatch):
     assert got == brute.near_components(docs, 5, 80)
 
 
+def test_blocks_confirm_links_on_full_sets():
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    compare = minhash_dedup._block_links(80)
+    for size in (45, 90, 900, 9000):
+        least = -(-8 * size // 9)  # 80 shared of 100 for sets of equal size
+        for short in (0, 1, 2):
+            pool = r.integers(0, 2**63, 3 * size).astype(np.uint64) * np.uint64(2)
+            a, shared = pool[:size], least - short
+            b = np.append(a[:shared], pool[size : 2 * size - shared])
+            rows = pd.DataFrame({"id": [1, 2], "label": [1, 2], "query": [True, False], "shingles": [np.sort(x).tobytes() for x in (a, b)]})
+            assert len(compare(rows)) == (short == 0), (size, short)
+
+
+def test_pairs_just_below_the_threshold_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 100)  # a query seldom meets a block that holds itself
+    docs = []
+    for k in range(8):
+        w = filler(760 + k, 1100).split()
+        far = 100 + k % 3  # of 900 shingles each; 100 is 80 %
+        docs += [(10 * k, " ".join(w[:904])), (10 * k + 1, " ".join(w[far : 904 + far]))]
+    got = by_id(minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")), "n_shingles", "component_id")
+    assert got == brute.near_components(docs, 5, 80)
+
+
 def test_estimates_are_near():
     r = np.random.default_rng(1)
     pool = wh.mix(r.integers(0, 2**63, 9000).astype(np.uint64))
