@@ -74,7 +74,7 @@ def op9_rank_synchronous_token_counts(spark: SparkSession, sf_dir: str) -> DataF
 
 def op10_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return span_dedup.dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", "repeats_of", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
+    return span_dedup.dedup_spans(docs, min_words=12, alone=25).select("doc_id", "n_sentences", "n_removed", "repeats_of", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("kept_sha256"))
 
 
 OP5_SQL = r"""

@@ -4,8 +4,10 @@ A sentence ends after a word that ends in ``.``, ``!`` or ``?`` (quotes and
 brackets may follow), and at a line's end. Each sentence starts a span, the
 shortest run from there of at least ``min_sentences`` sentences and
 ``min_words`` words, and ends one, the shortest such run up to there; so a
-repeated passage is covered to both of its edges. Spans are hashed over words
-folded to lower case, whatever the white space between them.
+repeated passage is covered to both of its edges. With ``alone`` a sentence of
+that many words is a span by itself. Spans are hashed over words folded to lower
+case, whatever the white space between them. A sentence of which only a part is
+repeated stays, so the words that a passage shares with a sentence around it do.
 
 1. Hashes of all spans are counted; what counts twice goes into a Bloom filter
    of at most ``filter_bytes`` that is broadcast. A full filter lets more spans
@@ -64,7 +66,7 @@ def sentence_ends(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.
     return np.flatnonzero(stop) + 1
 
 
-def spans(after: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+def spans(after: np.ndarray, min_sentences: int, min_words: int, alone: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """First and last sentence (exclusive) of the distinct spans of one text."""
     n = len(after)
     edge = np.append(0, after)
@@ -72,7 +74,11 @@ def spans(after: np.ndarray, min_sentences: int, min_words: int) -> tuple[np.nda
     forward = np.maximum(np.searchsorted(edge, edge[:-1] + min_words), i + min_sentences)
     backward = np.minimum(np.searchsorted(edge, edge[1:] - min_words, "right") - 1, i + 1 - min_sentences)
     f, b = forward <= n, backward >= 0
-    pairs = np.unique(np.append(i[f] * (n + 1) + forward[f], backward[b] * (n + 1) + i[b] + 1))
+    pairs = np.append(i[f] * (n + 1) + forward[f], backward[b] * (n + 1) + i[b] + 1)
+    if alone is not None:
+        one = i[np.diff(edge) >= alone]
+        pairs = np.append(pairs, one * (n + 1) + one + 1)
+    pairs = np.unique(pairs)
     return pairs // (n + 1), pairs % (n + 1)
 
 
@@ -99,25 +105,25 @@ def _span_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, which: int)
     return mix((sums[hi] - sums[lo]) * inverse[lo] + (hi - lo).astype(_U))
 
 
-def _spans_of(texts: pa.Array, min_sentences: int, min_words: int):
+def _spans_of(texts: pa.Array, min_sentences: int, min_words: int, alone: int | None):
     """(row, first sentence, last, words, first word, last) of each text with spans."""
     data, _ = buffers(texts)
     for lo, hi, words, at, begins, ends in located_words(texts):
         for j in range(hi - lo):
             a, b = at[j], at[j + 1]
             after = sentence_ends(data, begins[a:b], ends[a:b])
-            first, last = spans(after, min_sentences, min_words)
+            first, last = spans(after, min_sentences, min_words, alone)
             if len(first):
                 edge = np.append(0, after)
                 yield lo + j, first, last, words[a:b], edge[first], edge[last]
 
 
-def _hashes(docs: DataFrame, min_sentences: int, min_words: int) -> DataFrame:
+def _hashes(docs: DataFrame, min_sentences: int, min_words: int, alone: int | None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held: list = []
             size = 0
-            for _, _, _, words, lo, hi in _spans_of(batch.column(0), min_sentences, min_words):
+            for _, _, _, words, lo, hi in _spans_of(batch.column(0), min_sentences, min_words, alone):
                 held.append(_span_hashes(words, lo, hi, 0))
                 size += len(held[-1])
                 if size > 200_000:
@@ -163,7 +169,7 @@ def _repeat_filter(repeated: DataFrame, filter_bytes: int) -> list[bytes]:
     return out
 
 
-def _occurrences(docs: DataFrame, shared, min_sentences: int, min_words: int) -> DataFrame:
+def _occurrences(docs: DataFrame, shared, min_sentences: int, min_words: int, alone: int | None) -> DataFrame:
     """(h1, h2, id, tag, first, last): spans that pass the filter, by sentence numbers."""
     names = ["h1", "h2", "id", "tag", "first", "last"]
 
@@ -186,7 +192,7 @@ def _occurrences(docs: DataFrame, shared, min_sentences: int, min_words: int) ->
         for batch in batches:
             ids, tags = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             got: list = []
-            for row, first, last, words, lo, hi in _spans_of(batch.column(2), min_sentences, min_words):
+            for row, first, last, words, lo, hi in _spans_of(batch.column(2), min_sentences, min_words, alone):
                 h1 = _span_hashes(words, lo, hi, 0)
                 ok = passes(h1)
                 if ok.any():
@@ -199,13 +205,13 @@ def _occurrences(docs: DataFrame, shared, min_sentences: int, min_words: int) ->
     return docs.select("id", "tag", "text").mapInArrow(work, "h1 long, h2 long, id long, tag long, first int, last int")
 
 
-def repeated_spans(docs: DataFrame, path: str, *, min_sentences: int, min_words: int, filter_bytes: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, path: str, *, min_sentences: int, min_words: int, alone: int | None, filter_bytes: int) -> DataFrame:
     """(id, tag, first, last, of): sentences that a non-first occurrence covers, and
     the document of the first one, for docs (id, tag, text)."""
     spark = docs.sparkSession
-    repeated = _hashes(docs, min_sentences, min_words).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    repeated = _hashes(docs, min_sentences, min_words, alone).groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1")
     shared = spark.sparkContext.broadcast(_repeat_filter(saved(repeated, f"{path}/repeated"), filter_bytes))
-    seen = saved(_occurrences(docs, shared, min_sentences, min_words).distinct(), f"{path}/seen")
+    seen = saved(_occurrences(docs, shared, min_sentences, min_words, alone).distinct(), f"{path}/seen")
     place = F.struct("id", "tag", "first", "last")
     firsts = seen.groupBy("h1", "h2").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("h1", "h2", "f")
     firsts = saved(firsts, f"{path}/firsts")  # so that both sides of the join are plain shuffles, which AQE can split
@@ -215,14 +221,14 @@ def repeated_spans(docs: DataFrame, path: str, *, min_sentences: int, min_words:
     return later.select("id", "tag", begins.alias("first"), "last", F.col("f.id").alias("of")).where("first < last").distinct()
 
 
-def dedup_spans(docs: DataFrame, *, text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def dedup_spans(docs: DataFrame, *, text: str = "text", min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS, alone: int | None = None, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """docs with `text` rewritten and n_sentences, n_removed and repeats_of added:
     the ids of the documents that hold what was removed (a null id is left out)."""
     bounded_batches(docs.sparkSession)
     path = shared_dir(docs.sparkSession)
     whole = docs.withColumns({"_id": row_key(), "_tag": F.xxhash64(text), "_text": F.col(text).cast("string")})
     plain = whole.select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col("_text").alias("text"))
-    gone = repeated_spans(plain, path, min_sentences=min_sentences, min_words=min_words, filter_bytes=filter_bytes)
+    gone = repeated_spans(plain, path, min_sentences=min_sentences, min_words=min_words, alone=alone, filter_bytes=filter_bytes)
     of = F.array_sort(F.collect_set(F.when(F.col("of") != NULL_ID, F.col("of"))))
     per_doc = gone.groupBy("id", "tag").agg(F.collect_set(F.array("first", "last")).alias("_gone"), of.alias("_of"))
     per_doc = per_doc.withColumnsRenamed({"id": "_id", "tag": "_tag"})

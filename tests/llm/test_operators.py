@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarn.llm import components, decontamination, fingerprints, language_id, line_dedup, lm_scoring, minhash_dedup, packing, span_dedup, token_counts, training_order
+from tarn.llm import components, decontamination, fingerprints, language_id, line_dedup, lm_scoring, minhash_dedup, packing, queries, span_dedup, token_counts, training_order
 from tarn.llm import wordhash as wh
 from tests.llm import brute
 from tests.llm.conftest import filler
@@ -354,6 +354,17 @@ def test_a_shared_passage_goes_but_once(spark):
     assert few == got
 
 
+def test_passages_inside_sentences_lose_their_whole_sentences(spark, tmp_path):
+    long, short = f"{filler(820, 47)}.", f"{filler(821, 6)}. {filler(822, 16)}."
+    docs = []
+    for k, whole in enumerate((long, short)):
+        passage = f"{filler(830 + k, 8)}. {whole} {filler(840 + k, 8)}"
+        docs += [(10 * k + j, f"{filler(850 + 10 * k + j, 20)} {passage} {filler(870 + 10 * k + j, 20)}.") for j in range(2)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = by_id(queries.op10_sentence_span_dedup(spark, str(tmp_path)), "n_removed", "repeats_of")
+    assert got == {0: (0, []), 1: (1, [0]), 10: (0, []), 11: (2, [10])}
+
+
 def test_spans_of_odd_tables(odd, none):
     out = span_dedup.dedup_spans(odd)
     assert out.columns == [*odd.columns, "n_sentences", "n_removed", "repeats_of"] and out.count() == odd.count()
