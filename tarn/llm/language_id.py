@@ -6,7 +6,9 @@ and the language whose total is smallest wins; the pieces are short, so that
 the dictionary and not the text itself explains most of what follows. All of
 the text is compressed. The margin between the two smallest totals, as a share
 of the larger one, is the score; a caller may reject texts whose margin is
-narrow.
+narrow. Where totals tie, as whole bytes of short texts often do, the
+dictionaries' counts of the first piece's ``GRAM``-byte strings decide; their
+difference, as bytes and below one, is the margin.
 
 Fitting takes a bounded sample: per language the texts with the smallest hash,
 ``docs_per_language`` of them, the first ``snippet_chars`` of each, and at most
@@ -14,12 +16,13 @@ Fitting takes a bounded sample: per language the texts with the smallest hash,
 
 Defined results: a null text, and a text without a letter, is ``und`` with
 score 0. With a single learned language the score is 1. With no labelled row at
-all every text is ``und``. Ties go to the language that sorts first. Rows are
+all every text is ``und``. Ties that the counts leave go to the language that sorts first. Rows are
 never merged or dropped.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +35,15 @@ from tarn.llm.common import bounded_batches
 UNDETERMINED = "und"
 #: Bytes compressed at once, the effort, and the shortest match.
 PIECE, LEVEL, MIN_MATCH = 2048, 12, 3
+#: Bytes of the strings that are counted where totals tie.
+GRAM = 3
+
+
+def finer_cost(raw: bytes, dictionary: bytes) -> float:
+    """Bytes that coding the strings of raw by their counts in dictionary takes."""
+    padded, held = b" " + raw + b" ", b" " + dictionary + b" "
+    grams = [padded[k : k + GRAM] for k in range(max(1, len(padded) - GRAM + 1))]
+    return -sum(math.log2((held.count(g) + 0.5) / (len(held) + 0.5)) for g in grams) / 8 / GRAM
 
 
 def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", dict_bytes: int = 48 << 10, docs_per_language: int = 128, snippet_chars: int = 1500) -> dict[str, bytes]:
@@ -83,6 +95,11 @@ def classify(docs: DataFrame, model: dict[str, bytes], *, text: str = "text", pr
                 raw = t.lower().encode()
                 pieces = [raw[k : k + PIECE] for k in range(0, len(raw), PIECE)] or [raw]
                 sizes = [sum(len(c.compress(x)) for x in pieces) for c in coders]
+                tied = [j for j, x in enumerate(sizes) if x == min(sizes)]
+                if len(tied) > 1:
+                    finer = {j: finer_cost(pieces[0], shared.value[j]) for j in tied}
+                    for j in tied:  # less than a byte, so other totals keep their places
+                        sizes[j] += min(finer[j] - min(finer.values()), 0.99)
                 k = min(range(len(sizes)), key=sizes.__getitem__)
                 best[i] = k
                 rest = [s for j, s in enumerate(sizes) if j != k]

@@ -233,6 +233,14 @@ def test_language_of_odd_tables(odd, none):
     assert {r.sure for r in language_id.classify(odd, {"en": model["en"]}, score="sure").where("doc_id = 1").collect()} == {1.0}
 
 
+def test_ties_of_short_texts_are_settled(spark):
+    model = {"aa": b"und von der und nicht von " * 20, "bb": b"that the and that it with " * 20, "cc": b"pas les sur une est avec " * 20}
+    rows = [(1, "Von.", "aa"), (2, "It.", "bb"), (3, "Une", "cc"), (4, "that", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.classify(df, model)
+    assert got.where("lang = lang_pred").count() == 4 == got.where(language_id.accepted(0.0005)).count()
+
+
 # 8 near-dedup
 
 
