@@ -50,7 +50,8 @@ def fit(docs: DataFrame, *, text: str = "text", label: str = "lang", dict_bytes:
     """Dictionaries by language. At most about 3 * docs_per_language snippets
     per language reach the driver, whatever the size of docs."""
     rows = docs.select(F.col(text).alias("t"), F.col(label).cast("string").alias("l")).where(F.col("l").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    # Distinct texts, as copies share a hash: a language of copies keeps its snippets.
+    counts = {r["l"]: max(1, r["n"]) for r in rows.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t")).alias("n")).collect()}
     if not counts:
         return {}
     one = 1 << 40

@@ -233,6 +233,14 @@ def test_language_of_odd_tables(odd, none):
     assert {r.sure for r in language_id.classify(odd, {"en": model["en"]}, score="sure").where("doc_id = 1").collect()} == {1.0}
 
 
+def test_a_language_of_copies_keeps_its_dictionary(spark):
+    copies = [f"ein satz der nummer {k} von vielen" for k in range(3)]
+    few = spark.range(60_000).select(F.element_at(F.array(*map(F.lit, copies)), (F.col("id") % 3 + 1).cast("int")).alias("text"), F.lit("aa").alias("lang"))
+    many = spark.range(2000).select(F.concat(F.lit("a sentence with number "), F.col("id")).alias("text"), F.lit("bb").alias("lang"))
+    model = language_id.fit(few.unionAll(many))
+    assert all(c.encode() in model["aa"] for c in copies) and model["bb"].count(b"\n") == 127
+
+
 def test_ties_of_short_texts_are_settled(spark):
     model = {"aa": b"und von der und nicht von " * 20, "bb": b"that the and that it with " * 20, "cc": b"pas les sur une est avec " * 20}
     rows = [(1, "Von.", "aa"), (2, "It.", "bb"), (3, "Une", "cc"), (4, "that", "bb")]
