@@ -10,7 +10,8 @@ is inserted once for each level up to that.
 Scoring. Segments are broadcast, ``block_bytes`` of them at a time; one pass
 over the texts looks up what a block holds. A bigram's count is found by asking
 for level 1, 2, ... until one is missing, and is taken at the lower end of the
-level, so quantising never gives a context more than its share. A token's
+level, so quantising never gives a context more than its share; a false hit of
+the filter does, for one unseen bigram in 2**PROBES. A token's
 probability is (1 - weight) * P1 + weight * c(v, w) / c(v), P1 the unigram
 probability (c + 0.5) / (N + 0.5 * (V + 1)).
 
@@ -40,7 +41,7 @@ from tarn.llm.wordhash import mix, word_hashes
 
 #: Ratio of neighbouring quantisation levels, probes of a membership test and
 #: bits for each inserted entry (false positives: 2 ** -PROBES).
-STEP, PROBES = 1.5, 6
+STEP, PROBES = 1.5, 12
 BITS = PROBES / math.log(2)
 #: Tokens summed up before they are sent, and entries meant for a segment.
 AT_ONCE, PER_SEGMENT = 1_000_000, 500_000

@@ -142,6 +142,17 @@ def test_scores_are_exact_bases_and_smoothed_bigrams(spark, small, small_df):
     assert close >= 0.95 * len(small)
 
 
+def test_unseen_bigrams_seldom_pass_the_filter():
+    keys = wh.mix(np.arange(1, 320_001, dtype=np.uint64))
+    held, unseen = np.sort(keys[:20_000]), keys[20_000:]
+    bits = lm_scoring._filter(held, np.ones(len(held), np.int64))
+    block = lm_scoring.ModelBlock(1, [0, 1], b"", b"", bits + bits, [len(bits)] * 2)
+    assert (block.levels(held) >= 1).all()
+    rate = (block.levels(unseen) > 0).mean()
+    print(f"false hits: {rate:.6f}")
+    assert rate < 2**-10
+
+
 def test_scores_of_odd_tables(spark, odd, none):
     path = lm_scoring.shared_dir(spark)
     rows = lm_scoring.score(odd, lm_scoring.train(odd, f"{path}/a")).collect()
