@@ -7,8 +7,13 @@ Scratch tables
     single machine) a local temporary folder takes its place.
 
 Document keys
-    ``ROW_KEY`` is the ``doc_id`` with null replaced by the largest long: rows
+    ``row_key`` is the ``doc_id`` with null replaced by the largest long: rows
     without an id are one document that sorts last.
+
+Clashing names
+    A caller's columns come back unchanged, whatever their names, but for those
+    that an operator's outputs are named like: the output takes their place.
+    Helper columns are named by ``unused``, so they can't clash.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 NULL_ID = 2**63 - 1
 
 _scratch: list[tuple[SparkSession, str]] = []
+_local: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +40,11 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder of our own in the folder that all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tarn-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not _local:
+            _local.append("file://" + tempfile.mkdtemp(prefix="tarn-"))
+        base = _local[0]
     path = f"{base.rstrip('/')}/tarn-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     return path
@@ -66,15 +75,16 @@ def _clean() -> None:
             pass
 
 
-def saved(df: DataFrame, path: str) -> DataFrame:
-    """Writes df as Parquet and returns it as read back: lineage ends there."""
-    df.write.mode("overwrite").parquet(path)
+def saved(df: DataFrame, path: str, *, by: str | None = None) -> DataFrame:
+    """Writes df as Parquet, in a folder for each value of `by`, and returns it as
+    read back: lineage ends there."""
+    out = df.write.mode("overwrite")
+    (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_key(doc_id: str | Column = "doc_id") -> Column:
-    c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.coalesce(c.cast("long"), F.lit(NULL_ID))
+def row_key(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
 
 
 def fold_of(doc_id: str, n: int) -> Column:
@@ -82,6 +92,19 @@ def fold_of(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, so that extra columns can't clash with ours."""
-    return df.select(*[df[n] for n in names])
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it from being
+    one of df's columns."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without the columns that outputs of these names will replace."""
+    gone = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in gone])
