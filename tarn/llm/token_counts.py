@@ -7,14 +7,21 @@ pair of lowest rank and all sequences merge theirs at once, until none has a
 pair left; what survives of a sequence is its count. Counts are kept for the
 next batches in a table of bounded size.
 
+A pre-token of more than ``LONG`` bytes (a base64 blob, an unspaced page) has as
+many rounds as it has different pairs, each over all that is left of it. Such
+sequences are held as linked arrays instead, with the places of each rank in a
+list of its own: the lowest rank present is merged at all its places at once, as
+before, and a round touches no more than these places and their neighbours.
+
 Defined results: a null or empty text has 0 bytes and 0 tokens; the string of
-a special token inside a text is one token, as the library's default. Very
-long pre-tokens are merged in the same rounds. Repeated rows are counted each.
+a special token inside a text is one token, as the library's default. Repeated rows are counted each. A column named like the
+output is replaced.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -34,6 +41,8 @@ PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{
 #: Pre-tokens whose counts a worker keeps, and bytes merged at once.
 KEPT = 400_000
 AT_ONCE = 1 << 20
+#: Bytes from which a pre-token's pairs are listed by rank.
+LONG = 512
 
 
 def byte_letters() -> list[str]:
@@ -72,6 +81,65 @@ class RankMerger:
         return np.where((self._key[at] == key) & (seq[:-1] == seq[1:]), self._rank[at], self._none)
 
     def counts(self, words: list[bytes]) -> np.ndarray:
+        """Counts of what is left of each; none of the words is empty."""
+        long = np.array([len(w) > LONG for w in words], bool)
+        out = np.zeros(len(words), np.int64)
+        for which, count in ((long, self._by_rank), (~long, self._by_round)):
+            if which.any():
+                out[which] = count([words[i] for i in np.flatnonzero(which)])
+        return out
+
+    def _by_rank(self, words: list[bytes]) -> np.ndarray:
+        lengths = np.array([len(w) for w in words], np.int64)
+        n, starts = int(lengths.sum()), np.append(0, np.cumsum(lengths))
+        # Place n is no symbol's: what stands before the first and after the last.
+        sym = np.append(self._first[np.frombuffer(b"".join(words), np.uint8)], -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[starts[1:] - 1] = before[starts[:-1]] = after[n] = n
+        held = np.ones(n, bool)
+        places: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def ranks(at: np.ndarray) -> np.ndarray:
+            right = sym[after[at]]
+            key = sym[at] << 32 | right
+            found = np.searchsorted(self._key, key)
+            return np.where((self._key[found] == key) & (right >= 0), self._rank[found], self._none)
+
+        def note(at: np.ndarray) -> None:
+            rank = ranks(at)
+            at, rank = at[rank < self._none], rank[rank < self._none]
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            heads = np.flatnonzero(np.append(True, rank[1:] != rank[:-1])) if len(rank) else rank
+            for r, lo, hi in zip(rank[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(rank)]):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(heap, r)
+                places[r].append(at[lo:hi])
+
+        note(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[held[at]]
+            at = at[ranks(at) == r]  # some have gone into other pairs since
+            if not len(at):
+                continue
+            fresh = np.append(True, after[at[:-1]] != at[1:])
+            run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            right = after[at]
+            sym[at] = self._made[r]
+            held[right] = False
+            after[at] = after[right]
+            before[after[at]] = at
+            before[n] = after[n] = n
+            near = before[at]
+            note(np.unique(np.append(at, near[near < n])))
+        return np.add.reduceat(held.astype(np.int64), starts[:-1])
+
+    def _by_round(self, words: list[bytes]) -> np.ndarray:
         lengths = np.array([len(w) for w in words], np.int64)
         out = lengths.copy()
         sym = self._first[np.frombuffer(b"".join(words), np.uint8)]
@@ -155,8 +223,6 @@ def with_token_counts(docs: DataFrame, *, text: str = "text", out: str = "n_toke
 
     @F.pandas_udf(T.LongType())
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-
-
         own = counter(name)
         for texts in batches:
             got: list[int] = []
