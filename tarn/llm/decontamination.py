@@ -13,26 +13,32 @@ from the previous one's, so all classes cost little more than the first.
 Every pair that shares a minimum is verified by exact shingle containment in
 the whole document.
 
-Items travel to the workers in blocks of bounded size, one pass over the
-documents a block, so a large benchmark costs passes and not memory. There is
-no shuffle, hence no skew.
+Items travel to the workers in blocks of bounded size, so a large benchmark
+costs passes over the documents and not memory. A block is indexed once, on the
+driver, and the sorted arrays are broadcast; with several blocks one pass is
+written before the next block is sent, so one block is held at a time. There is
+no shuffle, hence no skew. ``clean`` drops documents in the pass that searches
+them; with several blocks it gathers digests of the texts that hold an item, and
+anti-joins on these.
 
 Defined results: an item with fewer words than a shingle is one shingle, its
 whole sequence; an item without words, or null, is found nowhere; a null or
 empty document holds nothing. Repeated items, and repeated documents, are
-reported each. Null ids stay null.
+reported each. Null ids stay null. ``clean`` judges each row by its own text,
+also where ids repeat or are null; it adds no columns and keeps all of any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded_batches, row_key
+from tarn.llm.common import bounded_batches, saved, shared_dir, unused
 from tarn.llm.wordhash import grams, mix, word_hashes
 
 HASHES = 48
@@ -53,7 +59,8 @@ def _values(shingles: np.ndarray, i: int) -> np.ndarray:
 
 
 class ItemBlock:
-    """Some items' shingles, and the keys that lead to them, by size class."""
+    """Some items' shingles, and the keys that lead to them, by size class. What
+    is broadcast are arrays of 8 bytes a shingle and some 600 an item."""
 
     def __init__(self, rows: list[tuple[int | None, str]], n: int):
         self.n, self.ids, self.sets, self.classes = n, [], [], set()
@@ -76,11 +83,16 @@ class ItemBlock:
                         owners.append(k)
         order = np.argsort(np.array(keys, _U), kind="stable")
         self.keys, self.owners = np.array(keys, _U)[order], np.array(owners, np.int64)[order]
-        #: By the low bits of a key, whether there may be such a key.
-        self.maybe = np.zeros(1 << max(16, (len(keys) * 64).bit_length()), bool)
-        self.maybe[(self.keys & _U(len(self.maybe) - 1)).astype(np.int64)] = True
         self.short = {m: (np.array([h for h, _ in v], _U), np.array([k for _, k in v])) for m, v in short.items()}
 
+    @functools.cached_property
+    def maybe(self) -> np.ndarray:
+        """By the low bits of a key, whether there may be such a key. Made where
+        it is used, once a worker, and never sent."""
+        out = np.zeros(1 << min(26, max(16, (len(self.keys) * 64).bit_length())), bool)
+        out[(self.keys & _U(len(out) - 1)).astype(np.int64)] = True
+        return out
+
     def _hits(self, shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first, last, items): ranges of shingles whose windows share minima with items."""
         if not len(self.keys) or not len(shingles):
@@ -149,6 +161,27 @@ def _item_blocks(items: DataFrame, item_id: str, text: str, chars: int) -> Itera
         yield held
 
 
+def _each_block(items: DataFrame, item_id: str, text: str, chars: int, shingle: int, search: Callable, path: str) -> DataFrame | None:
+    """The union of search(broadcast index) over the blocks of items. A single
+    block's search stays lazy; of several each is written before the next is sent."""
+    spark = items.sparkSession
+    blocks = _item_blocks(items, item_id, text, chars)
+    first = next(blocks, None)
+    if first is None:
+        return None
+    out, k, block = None, 0, first
+    while block is not None:
+        following = next(blocks, None)
+        shared = spark.sparkContext.broadcast(ItemBlock(block, shingle))
+        found = search(shared)
+        if k or following is not None:
+            found = saved(found, f"{path}/{k}")
+            shared.destroy()
+        out = found if out is None else out.unionAll(found)
+        block, k = following, k + 1
+    return out
+
+
 def find_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, percent: int = 80, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row (doc_id, item_id, item_shingles, shared, containment) for each
     document and item of which it holds at least percent / 100 of the shingles."""
@@ -156,12 +189,10 @@ def find_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     bounded_batches(spark)
     schema = "doc_id long, item_id long, item_shingles long, shared long, containment double"
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    out = None
-    for block in _item_blocks(items, item_id, item_text, block_chars):
-        shared = spark.sparkContext.broadcast(block)
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = ItemBlock(shared.value, shingle)
+    def search(shared) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = shared.value
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 got: list[tuple] = []
@@ -172,12 +203,47 @@ def find_items(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
                     cols = list(zip(*got))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 4 else pa.int64()) for i, c in enumerate(cols)], ["doc_id", "item_id", "item_shingles", "shared", "containment"])
 
-        found = rows.mapInArrow(work, schema)
-        out = found if out is None else out.unionAll(found)
+        return rows.mapInArrow(work, schema)
+
+    out = _each_block(items, item_id, item_text, block_chars, shingle, search, shared_dir(spark))
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+def _holds_item(shared, percent: int) -> Callable[[Column], Column]:
+    """Whether a text holds an item of the block."""
+
+    @F.arrow_udf("boolean")
+    def holds(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = shared.value
+        for texts in batches:
+            out = np.zeros(len(texts), bool)
+            for lo, _, words, at in word_hashes(texts):
+                for d, _, _ in own.matches(words, at, percent):
+                    out[lo + d] = True
+            yield pa.array(out)
+
+    # Not deterministic in name, so that no filter copies the call below itself.
+    return holds.asNondeterministic()
+
+
+def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", shingle: int = 5, percent: int = 80, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs without the rows in which an item is found."""
-    dirty = find_items(docs.withColumn("_id", row_key()), items, doc_id="_id", **how).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.withColumn("_id", row_key()).join(dirty, "_id", "left_anti").drop("_id")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    whole = F.col(text).cast("string")
+    h1, h2 = unused(docs, "h1", "h2")
+    digests = [F.xxhash64(whole).alias(h1), F.xxhash64(F.lit(1), whole).alias(h2)]
+    only: list = []
+
+    def search(shared) -> DataFrame:
+        only.append(shared)
+        (dirty,) = unused(docs, "dirty")
+        return docs.select(*digests, _holds_item(shared, percent)(whole).alias(dirty)).where(dirty).select(h1, h2).distinct()
+
+    found = _each_block(items, item_id, item_text, block_chars, shingle, search, shared_dir(spark))
+    if found is None:
+        return docs
+    if len(only) == 1:
+        return docs.where(~_holds_item(only[0], percent)(whole))
+    kept = docs.withColumns({h1: digests[0], h2: digests[1]}).join(found.distinct(), [h1, h2], "left_anti")
+    return kept.select(*[kept[c] for c in docs.columns])
