@@ -7,23 +7,28 @@ all earlier batches, adds the new ones, and drops the lines whose key an
 earlier document holds; so each key's lines stay in the document with the
 smallest id, and there all of them stay.
 
-Keys are compared by 128 bits of two xxHash64 values.
+Lines are hashed once, to rows of 36 bytes that all batches read; the places
+of dropped lines are joined back and the rest is put together by array
+functions. There is no Python on the workers. Keys are compared by 128 bits of
+two xxHash64 values.
+
+With a ``store`` that the caller keeps, lines that earlier calls have seen go
+too, whatever the ids, and this call's lines are added; ``RunStore.open`` takes
+up a store again in a later session.
 
 Defined results: a null or empty text is one empty line and stays. Rows with
 the same doc_id count as one document (each of them keeps the lines that this
 document owns); a null doc_id is one document after all others. Documents that
-lose all lines remain with an empty text. An empty table gives no rows.
+lose all lines remain with an empty text. An empty table gives no rows. Columns
+named ``n_lines`` and ``n_dropped`` are replaced, others of any name are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded_batches, remove, row_key, shared_dir
+from tarn.llm.common import remove, row_key, saved, shared_dir, unused
 from tarn.llm.first_seen import RunStore, batch_step
 
 #: Documents are ranked into this many batches by default.
@@ -38,86 +43,55 @@ def line_key(line: Column) -> Column:
     return F.btrim(ascii_lower(line), F.lit(" \t\n\x0b\x0c\r"))
 
 
-def _key_hashes(line: Column) -> tuple[Column, Column]:
-    key = line_key(line)
-    return F.xxhash64(key), F.xxhash64(F.lit(1), key)
-
-
 def _bounds(ids: DataFrame, batches: int) -> list[int]:
     """At most batches - 1 increasing ids that cut the documents evenly."""
     cuts = ids.select(F.percentile_approx("id", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else []
     return sorted(set(cuts or []))
 
 
-def dropped_lines(docs: DataFrame, path: str, *, text: str = "text", min_chars: int = 10, batches: int = BATCHES) -> DataFrame:
-    """The distinct (h1, h2, id) of lines to drop; ids are row keys."""
+def _lines(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
+    """(id, tag, pos, h1, h2): the keys of at least min_chars; tag tells rows of
+    one id with different texts apart."""
+    base = docs.select(row_key().alias("id"), F.col(text).cast("string").alias("t"))
+    keyed = base.select("id", F.xxhash64("t").alias("tag"), F.posexplode(F.transform(F.split("t", "\n", -1), line_key)).alias("pos", "key"))
+    # Not pushed below the explosion: there a key would be made again for its length.
+    return keyed.where(F.length("key") >= min_chars).select("id", "tag", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+
+
+def dropped_lines(docs: DataFrame, path: str, *, text: str = "text", min_chars: int = 10, batches: int = BATCHES, store: RunStore | None = None) -> DataFrame:
+    """(id, tag, pos) of the lines to drop; ids are row keys."""
     spark = docs.sparkSession
-    base = docs.select(row_key().alias("id"), F.col(text).alias("t"))
-    bounds = _bounds(base.select("id"), batches)
-    store, out = RunStore(spark), None
+    bounds = _bounds(docs.select(row_key().alias("id")), batches)
+    batch = sum(((F.col("id") > b).cast("int") for b in bounds), F.lit(0))
+    lines = saved(_lines(docs, text, min_chars).withColumn("batch", batch), f"{path}/lines", by="batch")
+    own, out = store or RunStore(spark), None
     try:
         for k in range(len(bounds) + 1):
-            part = base
-            if k:
-                part = part.where(F.col("id") > bounds[k - 1])
-            if k < len(bounds):
-                part = part.where(F.col("id") <= bounds[k])
-            lines = part.select("id", F.explode(F.split("t", "\n", -1)).alias("line"))
-            lines = lines.where(F.length(line_key(F.col("line"))) >= min_chars)
-            h1, h2 = _key_hashes(F.col("line"))
-            got = batch_step(store, lines.select("id", h1.alias("h1"), h2.alias("h2")), f"{path}/{k}", last=k == len(bounds))
+            rows = lines.where(F.col("batch") == k).drop("batch")
+            got = batch_step(own, rows, f"{path}/{k}", last=store is None and k == len(bounds))
             remove(spark, f"{path}/{k}-keys")
             out = got if out is None else out.unionAll(got)
     finally:
-        store.close()
+        if store is None:
+            own.close()
+    remove(spark, f"{path}/lines")
     return out
 
 
-def _hash_in_python(key: bytes) -> tuple[int, int]:
-    """What _key_hashes gives for a key: Spark's xxhash64 is xxHash64 with seed 42,
-    and a first argument's hash is the next one's seed."""
-    import xxhash
-
-    def signed(x: int) -> int:
-        return x - (1 << 64) if x >> 63 else x
-
-    return signed(xxhash.xxh64_intdigest(key, 42)), signed(xxhash.xxh64_intdigest(key, _SEED_OF_ONE))
-
-
-#: xxhash64(1), as a seed.
-_SEED_OF_ONE = -6698625589789238999 % (1 << 64)
-
-
-def dedup_lines(docs: DataFrame, *, text: str = "text", min_chars: int = 10, batches: int = BATCHES) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, text: str = "text", min_chars: int = 10, batches: int = BATCHES, store: RunStore | None = None) -> DataFrame:
     """docs with `text` rewritten and the columns n_lines and n_dropped added."""
-    bounded_batches(docs.sparkSession)
-    gone = dropped_lines(docs, shared_dir(docs.sparkSession), text=text, min_chars=min_chars, batches=batches)
-    per_doc = gone.groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone")).withColumnRenamed("id", "_id")
-
-    @F.arrow_udf("struct<text: string, n: long, dropped: long>")
-    def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, gone in batches:
-            out = []
-            for t, g in zip(texts, gone):
-                lines = (t.as_py() or "").split("\n")
-                kept = lines
-                if g.is_valid:
-                    drop = {(x["h1"], x["h2"]) for x in g.as_py()}
-
-                    def stays(line: str) -> bool:
-                        key = line.encode().strip(b" \t\n\x0b\x0c\r").lower()
-                        return len(key.decode()) < min_chars or _hash_in_python(key) not in drop
-
-                    kept = [x for x in lines if stays(x)]
-                out.append({"text": "\n".join(kept) if len(kept) < len(lines) else None, "n": len(lines), "dropped": len(lines) - len(kept)})
-            yield pa.array(out, pa.struct([("text", pa.string()), ("n", pa.int64()), ("dropped", pa.int64())]))
-
-    # Not deterministic in name, so that no filter copies the call below itself.
-    cut = cut.asNondeterministic()
-    joined = docs.withColumn("_id", row_key()).join(per_doc, "_id", "left")
-    done = joined.withColumn("_cut", cut(F.col(text).cast("string"), "_gone"))
-    return done.withColumns({
-        text: F.when(F.col("_cut.dropped") > 0, F.col("_cut.text")).otherwise(F.col(text)),
-        "n_lines": F.col("_cut.n"),
-        "n_dropped": F.col("_cut.dropped"),
-    }).drop("_id", "_gone", "_cut")
+    gone = dropped_lines(docs, shared_dir(docs.sparkSession), text=text, min_chars=min_chars, batches=batches, store=store)
+    key, tag, out = unused(docs, "id", "tag", "out")
+    per_doc = gone.groupBy(F.col("id").alias(key), F.col("tag").alias(tag)).agg(F.collect_set("pos").alias(out))
+    whole = F.col(text).cast("string")
+    joined = docs.withColumns({key: row_key(), tag: F.xxhash64(whole)}).join(per_doc, [key, tag], "left")
+    lines = F.split(F.coalesce(whole, F.lit("")), "\n", -1)
+    # array_except hashes, so long documents that lose many lines take no longer a line.
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out))
+    kept = F.array_join(F.transform(places, lambda i: F.get(lines, i)), "\n")
+    lost = F.col(out).isNotNull()
+    return joined.withColumns({
+        text: F.when(lost, kept).otherwise(F.col(text)),
+        "n_lines": F.size(lines).cast("long"),
+        "n_dropped": F.when(lost, F.size(out)).otherwise(0).cast("long"),
+    }).drop(key, tag, out)
