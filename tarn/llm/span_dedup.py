@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import NULL_ID, bounded_batches, row_key, saved, shared_dir
+from tarn.llm.common import NULL_ID, bounded_batches, row_key, saved, shared_dir, unused
 from tarn.llm.wordhash import buffers, located_words, mix
 
 MIN_SENTENCES, MIN_WORDS = 2, 25
@@ -46,6 +46,8 @@ _STOP[[ord(c) for c in ".!?"]] = True
 _CLOSING = np.zeros(256, bool)
 _CLOSING[[ord(c) for c in "\"')]}*"]] = True
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+#: What is added to a key for each probe of the filter.
+_STEPS = np.arange(1, PROBES + 1, dtype=_U) * _U(_BASES[1])
 
 
 def sentence_ends(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -136,7 +138,7 @@ def _hashes(docs: DataFrame, min_sentences: int, min_words: int, alone: int | No
 
 
 def _bits(keys: np.ndarray, i: int, size: int) -> np.ndarray:
-    return (mix(keys + _U(i + 1) * _U(_BASES[1])) % _U(size)).astype(np.int64)
+    return (mix(keys + _STEPS[i]) % _U(size)).astype(np.int64)
 
 
 def _segment(keys: np.ndarray) -> np.ndarray:
@@ -185,7 +187,7 @@ def _occurrences(docs: DataFrame, shared, min_sentences: int, min_words: int, al
             ok = filled[where]
             for i in range(PROBES):
                 k = np.flatnonzero(ok)
-                bit = (mix(keys[k] + _U(i + 1) * _U(_BASES[1])) % size[where[k]]).astype(np.int64)
+                bit = (mix(keys[k] + _STEPS[i]) % size[where[k]]).astype(np.int64)
                 ok[k] = (bits[start[where[k]] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 > 0
             return ok
 
@@ -226,12 +228,12 @@ def dedup_spans(docs: DataFrame, *, text: str = "text", min_sentences: int = MIN
     the ids of the documents that hold what was removed (a null id is left out)."""
     bounded_batches(docs.sparkSession)
     path = shared_dir(docs.sparkSession)
-    whole = docs.withColumns({"_id": row_key(), "_tag": F.xxhash64(text), "_text": F.col(text).cast("string")})
-    plain = whole.select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col("_text").alias("text"))
+    key, tag, lost, sources, done = unused(docs, "id", "tag", "lost", "sources", "done")
+    as_text = F.col(text).cast("string")
+    plain = docs.select(row_key().alias("id"), F.xxhash64(as_text).alias("tag"), as_text.alias("text"))
     gone = repeated_spans(plain, path, min_sentences=min_sentences, min_words=min_words, alone=alone, filter_bytes=filter_bytes)
     of = F.array_sort(F.collect_set(F.when(F.col("of") != NULL_ID, F.col("of"))))
-    per_doc = gone.groupBy("id", "tag").agg(F.collect_set(F.array("first", "last")).alias("_gone"), of.alias("_of"))
-    per_doc = per_doc.withColumnsRenamed({"id": "_id", "tag": "_tag"})
+    per_doc = gone.groupBy(F.col("id").alias(key), F.col("tag").alias(tag)).agg(F.collect_set(F.array("first", "last")).alias(lost), of.alias(sources))
 
     @F.arrow_udf("struct<text: string, n: long, removed: long>")
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -256,10 +258,10 @@ def dedup_spans(docs: DataFrame, *, text: str = "text", min_sentences: int = MIN
 
     # Not deterministic in name, so that no filter copies the call below itself.
     cut = cut.asNondeterministic()
-    done = whole.join(per_doc, ["_id", "_tag"], "left").withColumn("_cut", cut("_text", "_gone"))
-    return done.withColumns({
-        text: F.when(F.col("_cut.removed") > 0, F.col("_cut.text")).otherwise(F.col(text)),
-        "n_sentences": F.col("_cut.n"),
-        "n_removed": F.col("_cut.removed"),
-        "repeats_of": F.coalesce("_of", F.array().cast("array<long>")),
-    }).drop("_id", "_tag", "_text", "_gone", "_of", "_cut")
+    whole = docs.withColumns({key: row_key(), tag: F.xxhash64(as_text)}).join(per_doc, [key, tag], "left")
+    return whole.withColumn(done, cut(as_text, lost)).withColumns({
+        text: F.when(F.col(f"{done}.removed") > 0, F.col(f"{done}.text")).otherwise(F.col(text)),
+        "n_sentences": F.col(f"{done}.n"),
+        "n_removed": F.col(f"{done}.removed"),
+        "repeats_of": F.coalesce(sources, F.array().cast("array<long>")),
+    }).drop(key, tag, lost, sources, done)
