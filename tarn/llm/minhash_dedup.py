@@ -23,7 +23,8 @@ get both, so any two sets of resemblance ``threshold`` share a scheme.
 Defined results: a text without words, or null, has an empty set and is linked
 with nothing; with fewer words than a shingle its whole sequence is one. Rows
 of equal doc_id are one document for linking and each is returned; a null
-doc_id is one document that sorts last. An empty table gives no rows.
+doc_id is one document that sorts last. An empty table gives no rows. Columns
+named like the three outputs are replaced, others of any name are kept.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import NULL_ID, bounded_batches, remove, row_key, saved, shared_dir
+from tarn.llm.common import NULL_ID, bounded_batches, remove, row_key, saved, shared_dir, unused, without
 from tarn.llm.components import components
 from tarn.llm.wordhash import grams, mix, word_hashes
 
@@ -289,10 +290,12 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", shingle: int = 5, pe
     classes, edges = links(docs.select(row_key().alias("id"), F.col(text).cast("string").alias("text")), shingle=shingle, percent=percent, path=path)
     comps = components(edges)
     found = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    found = saved(found.select(F.col("id").alias("_id"), "n_shingles", F.coalesce("component", "rep").alias("component_id")), shared_dir(spark))
+    found = saved(found.select("id", "n_shingles", F.coalesce("component", "rep").alias("component_id")), shared_dir(spark))
     remove(spark, path)
+    rest = without(docs, "n_shingles", "component_id", "kept")
+    (key,) = unused(rest, "id")
     # Rows of one id with different texts are one document: the smallest component holds.
-    found = found.groupBy("_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    out = docs.withColumn("_id", row_key()).join(found, "_id", "left")
+    found = found.groupBy(F.col("id").alias(key)).agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    out = rest.withColumn(key, row_key()).join(found, key, "left")
     real = F.when(F.col("component_id") != NULL_ID, F.col("component_id"))
-    return out.withColumns({"component_id": real, "kept": F.col("component_id") == F.col("_id")}).drop("_id")
+    return out.select(*rest.columns, "n_shingles", real.alias("component_id"), (F.col("component_id") == F.col(key)).alias("kept"))
