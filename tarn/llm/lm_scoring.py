@@ -7,22 +7,26 @@ them up. A segment keeps exact unigram counts, and a Bloom filter of its
 bigrams: a count c is quantised to 1 + floor(log(c) / log(STEP)) and the bigram
 is inserted once for each level up to that.
 
-Scoring. Segments are broadcast, ``block_bytes`` of them at a time; one pass
-over the texts looks up what a block holds. A bigram's count is found by asking
-for level 1, 2, ... until one is missing, and is taken at the lower end of the
-level, so quantising never gives a context more than its share; a false hit of
-the filter does, for one unseen bigram in 2**PROBES. A token's
-probability is (1 - weight) * P1 + weight * c(v, w) / c(v), P1 the unigram
-probability (c + 0.5) / (N + 0.5 * (V + 1)).
-
-A model larger than a block takes further passes: what each found so far
-travels with the texts (5 bytes a token) in the shared scratch folder.
+Scoring. A model of at most ``block_bytes`` is broadcast, and one pass over the
+texts does it. A bigram's count is found by asking for level 1, 2, ... until one
+is missing, and is taken at the lower end of the level, so quantising never
+gives a context more than its share; a false hit of the filter does, for one
+unseen bigram in 2**PROBES. A token's probability is (1 - weight) * P1 +
+weight * c(v, w) / c(v), P1 the unigram probability
+(c + 0.5) / (N + 0.5 * (V + 1)).
+
+A larger model isn't sent to all: the texts' distinct words and bigrams, a
+million tokens at a time (a parcel), go to the segments that can tell their
+counts, and the answers come back to the parcels. Texts are read once; what is
+written and shuffled grows with the tokens (some 16 bytes a token), not with
+tokens times segments. The scores are the same to the last rounding.
 
 Tokens: words ``[^\\x20\\x09-\\x0D]+`` with A-Z folded, then one end, which is
 also the context of the first token. Words are compared by 64-bit hashes.
 
 Defined results: a null or empty text is the end alone. Without training texts
 N and V are 0 and every score is 0. Repeated rows count and are scored each.
+Columns named like the five outputs are replaced, others of any name are kept.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import bounded_batches, remove, saved, shared_dir
+from tarn.llm.common import bounded_batches, saved, shared_dir, unused
 from tarn.llm.wordhash import mix, word_hashes
 
 #: Ratio of neighbouring quantisation levels, probes of a membership test and
@@ -45,10 +49,14 @@ STEP, PROBES = 1.5, 12
 BITS = PROBES / math.log(2)
 #: Tokens summed up before they are sent, and entries meant for a segment.
 AT_ONCE, PER_SEGMENT = 1_000_000, 500_000
+#: The largest model that is broadcast.
 BLOCK_BYTES = 256 << 20
+#: Parcels that ask one copy of a segment.
+PARCELS = 20_000
 WEIGHT = 0.4
 
 _U = np.uint64
+_LEVELS = np.arange(256, dtype=_U) * _U(0xD6E8FEB86659FD93)
 END = mix(np.array([2], _U))[0]
 
 
@@ -86,7 +94,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _probes(keys: np.ndarray, level: int, i: int, bits: np.ndarray | int) -> np.ndarray:
-    a = mix(keys + _U(level) * _U(0xD6E8FEB86659FD93))
+    a = mix(keys + _LEVELS[level])
     step = (a >> _U(32)) | _U(1)
     return ((a + _U(i) * step * _U(0x9E3779B97F4A7C15)) >> _U(1)) % bits
 
@@ -103,30 +111,56 @@ def _filter(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def train(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
-    """The model: a row per segment (segment, tokens, types, words, counts, filter)."""
-    bounded_batches(docs.sparkSession)
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    shift = max(6, (size // 3 // PER_SEGMENT).bit_length())  # some three bytes of text an entry
+def _by_segment(keys: np.ndarray, shift: int) -> tuple[list[int], np.ndarray]:
+    """The segments of sorted keys that aren't empty, and where each begins."""
+    top = (keys >> _U(64 - shift)).astype(np.int64)
+    first = np.flatnonzero(np.append(True, top[1:] != top[:-1])) if len(keys) else np.empty(0, np.int64)
+    return top[first].tolist(), np.append(first, len(keys))
+
+
+def _segment_rows(columns: list[tuple[np.ndarray, ...]], shift: int) -> Iterator[tuple]:
+    """(segment, bytes of each array in it), for groups of arrays that run along
+    their sorted first one. Segments of which no group has a key are left out."""
+    cut = []
+    for arrays in columns:
+        segments, at = _by_segment(arrays[0], shift)
+        cut.append({s: (a, b) for s, a, b in zip(segments, at, at[1:])})
+    for s in sorted(set().union(*cut)):
+        yield s, *[x[slice(*c.get(s, (0, 0)))].tobytes() for arrays, c in zip(columns, cut) for x in arrays]
+
+
+def segments_for(text_bytes: int) -> int:
+    """The bits of a hash that tell segments apart: some three bytes of text an entry."""
+    return max(6, (text_bytes // 3 // PER_SEGMENT).bit_length())
+
+
+def counted(docs: DataFrame, shift: int, *, text: str = "text") -> DataFrame:
+    """(segment, k1, c1, k2, c2): sorted hashes and counts of words and bigrams of
+    about AT_ONCE tokens; a row for each segment that has some."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones: list = []
         twos: list = []
         held = 0
-        edges = np.arange(1, 1 << shift, dtype=_U) << _U(64 - shift)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            cols = []
+            summed = []
             for x in (ones, twos):
                 keys = np.concatenate(x)
-                keys, counts = _summed(keys, np.ones(len(keys), np.uint32))
-                cut = np.append(np.append(0, np.searchsorted(keys, edges)), len(keys))
-                cols.append([keys[a:b].tobytes() for a, b in zip(cut, cut[1:])])
-                cols.append([counts[a:b].astype(np.uint32).tobytes() for a, b in zip(cut, cut[1:])])
+                summed.append(_summed(keys, np.ones(len(keys), np.uint32)))
+            part: list[tuple] = []
             # Small batches: the JVM's buffers for large ones aren't given back.
-            for a in range(0, 1 << shift, 64):
-                part = [c[a : a + 64] for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(range(a, a + len(part[0])), pa.int32())] + [pa.array(c, pa.binary()) for c in part], ["segment", "k1", "c1", "k2", "c2"])
+            for row in _segment_rows([(k, c.astype(np.uint32)) for k, c in summed], shift):
+                part.append(row)
+                if len(part) == 64:
+                    yield _record(part)
+                    part = []
+            if part:
+                yield _record(part)
+
+        def _record(part: list[tuple]) -> pa.RecordBatch:
+            segment, *blobs = zip(*part)
+            return pa.RecordBatch.from_arrays([pa.array(segment, pa.int32())] + [pa.array(b, pa.binary()) for b in blobs], ["segment", "k1", "c1", "k2", "c2"])
 
         for batch in batches:
             for _, _, words, at in word_hashes(batch.column(0)):
@@ -140,22 +174,31 @@ def train(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
         if ones:
             yield from flush()
 
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(work, "segment int, k1 binary, c1 binary, k2 binary, c2 binary")
+
+
+def train(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
+    """The model: a row per segment (segment, shift, tokens, types, words, counts,
+    filter); a segment is the top `shift` bits of a hash."""
+    bounded_batches(docs.sparkSession)
+    shift = segments_for(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         def whole(k: str, c: str) -> tuple[np.ndarray, np.ndarray]:
             return _summed(np.frombuffer(b"".join(pdf[k]), _U), np.frombuffer(b"".join(pdf[c]), np.uint32).astype(np.int64))
 
         words, counts = whole("k1", "c1")
         bits = _filter(*whole("k2", "c2"))
-        return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "tokens": [int(counts.sum())], "types": [len(words)], "words": [words.tobytes()], "counts": [counts.astype(np.int64).tobytes()], "filter": [bits]})
+        return pd.DataFrame({"segment": [int(pdf["segment"].iloc[0])], "shift": [shift], "tokens": [int(counts.sum())], "types": [len(words)], "words": [words.tobytes()], "counts": [counts.astype(np.int64).tobytes()], "filter": [bits]})
 
-    parts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(work, "segment int, k1 binary, c1 binary, k2 binary, c2 binary")
+    parts = counted(docs, shift, text=text)
     # An Arrow-based reading of groups would hold no more than this: a segment's arrays.
-    model = parts.groupBy("segment").applyInPandas(add_up, "segment int, tokens long, types long, words binary, counts binary, filter binary")
+    model = parts.groupBy("segment").applyInPandas(add_up, "segment int, shift int, tokens long, types long, words binary, counts binary, filter binary")
     return saved(model, path)
 
 
 class ModelBlock:
-    """Neighbouring segments of a model, for look-ups. The arrays are views of
+    """Segments of a model in rising order, for look-ups. The arrays are views of
     the bytes that came by broadcast, so a worker holds them once."""
 
     def __init__(self, shift: int, segments: list[int], words: bytes, counts: bytes, bits: bytes, sizes: list[int]):
@@ -169,7 +212,7 @@ class ModelBlock:
             self._size[segment], self._start[segment] = n * 8, at * 8
 
     def counts(self, words: np.ndarray) -> np.ndarray:
-        """Exact counts of words; 0 for what other blocks hold."""
+        """Exact counts of words; 0 for what these segments don't hold."""
         if not len(self._words):
             return np.zeros(len(words), np.int64)
         some, back = np.unique(words, return_inverse=True)
@@ -192,43 +235,47 @@ class ModelBlock:
         return out
 
 
-def _blocks(model: DataFrame, block_bytes: int) -> list[tuple[int, int]]:
-    """First and last segment of each block; sizes alone come to the driver."""
-    sizes = model.select("segment", (F.length("words") + F.length("counts") + F.length("filter")).alias("n")).orderBy("segment").collect()
-    out: list[tuple[int, int]] = []
-    held = 0
-    for r in sizes:
-        if not out or held + r["n"] > block_bytes:
-            out.append((r["segment"], r["segment"]))
-            held = 0
-        out[-1] = (out[-1][0], r["segment"])
-        held += r["n"]
-    return out
+RESULT = "n_tokens long, n_known long, base_score double, score double"
+_KIND = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _scores(c1: np.ndarray, q2: np.ndarray, end: int, starts: np.ndarray, n: int, v: int, weight: float) -> list[tuple]:
+    """The results of texts end to end, from the counts of their tokens, the levels
+    of their bigrams and the count of the end."""
+    p1 = (c1 + 0.5) / (n + 0.5 * (v + 1))
+    context = np.empty_like(c1)
+    context[1:] = c1[:-1]
+    context[starts[:-1]] = end
+    p2 = np.minimum(least_count(q2.astype(np.int64)), context) / np.maximum(context, 1)
+    base, best = np.log10(p1), np.log10(np.where(context > 0, (1 - weight) * p1 + weight * p2, p1))
+    return [(int(b - a), int((c1[a:b] > 0).sum()), float(base[a:b].sum()), float(best[a:b].sum())) for a, b in zip(starts, starts[1:])]
 
 
 def score(docs: DataFrame, model: DataFrame, *, text: str = "text", weight: float = WEIGHT, block_bytes: int = BLOCK_BYTES, path: str | None = None) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score added."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    total = model.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), F.max("segment").alias("top")).first()
+    held = F.length("words") + F.length("counts") + F.length("filter")
+    total = model.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), F.max("shift").alias("shift"), F.sum(held).alias("bytes")).first()
     n, v = total["n"] or 0, total["v"] or 0
-    shift = ((total["top"] or 0)).bit_length() or 6
-    path = path or shared_dir(spark)
-    blocks = _blocks(model, block_bytes) or [(0, 0)]
-    state = docs.withColumns({"_c1": F.lit(None).cast("binary"), "_q2": F.lit(None).cast("binary")})
-    for k, (lo, hi) in enumerate(blocks):
-        shared = _broadcast_block(model.where(F.col("segment").between(lo, hi)), shift)
-        found = _pass(state, text, shared, n, v, weight, last=k == len(blocks) - 1)
-        if k < len(blocks) - 1:
-            found = saved(found, f"{path}/pass{k}")
-            if k:
-                remove(spark, f"{path}/pass{k - 1}")
-        state = found
-    return state
-
-
-def _broadcast_block(segments: DataFrame, shift: int):
-    """A block's arrays end to end, gathered a segment at a time."""
+    shift = total["shift"] or segments_for(0)
+    (got,) = unused(docs, "got")
+    if (total["bytes"] or 0) <= block_bytes:
+        out = docs.withColumn(got, _look_up(_broadcast_model(model, shift), n, v, weight)(F.col(text).cast("string")))
+    else:
+        whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+        h1, h2 = unused(docs, "h1", "h2")
+        rows = docs.select(F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2"), whole.alias("text"))
+        found = _ask_segments(rows, model, shift, n, v, weight, path or shared_dir(spark))
+        names = [f.split()[0] for f in RESULT.split(", ")]
+        found = found.groupBy(F.col("h1").alias(h1), F.col("h2").alias(h2)).agg(F.min(F.struct(*names)).alias(got))
+        out = docs.withColumns({h1: F.xxhash64(whole), h2: F.xxhash64(F.lit(1), whole)}).join(found, [h1, h2], "left").drop(h1, h2)
+    new = {c: F.col(f"{got}.{c}") for c in ("n_tokens", "n_known")}
+    return out.withColumns(new | {"train_tokens": F.lit(n).cast("long")} | {c: F.col(f"{got}.{c}") for c in ("base_score", "score")}).drop(got)
+
+
+def _broadcast_model(segments: DataFrame, shift: int):
+    """The model's arrays end to end, gathered a segment at a time."""
     at, sizes = [], []
     words, counts, bits = bytearray(), bytearray(), bytearray()
     for r in segments.select("segment", "words", "counts", "filter").orderBy("segment").toLocalIterator():
@@ -244,44 +291,110 @@ def _broadcast_block(segments: DataFrame, shift: int):
     return segments.sparkSession.sparkContext.broadcast((shift, at, words, counts, bits, sizes) if at else None)
 
 
-def _pass(docs: DataFrame, text: str, shared, n: int, v: int, weight: float, *, last: bool) -> DataFrame:
-    result = "struct<c1: binary, q2: binary, n_tokens: long, n_known: long, base_score: double, score: double>"
-    kind = pa.struct([("c1", pa.binary()), ("q2", pa.binary()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    below = n + 0.5 * (v + 1)
-
-    @F.arrow_udf(result)
-    def look_up(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _look_up(shared, n: int, v: int, weight: float):
+    @F.arrow_udf(f"struct<{RESULT.replace(' ', ': ').replace(',:', ',')}>")
+    def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         block = ModelBlock(*shared.value) if shared.value else None
-        for texts, old_c1, old_q2 in batches:
+        end = block.counts(np.array([END]))[0] if block else 0
+        for texts in batches:
             out = []
-            for lo, hi, words, at in word_hashes(texts):
+            for _, _, words, at in word_hashes(texts):
                 tokens, before, starts = _tokens(words, at)
                 c1 = block.counts(tokens) if block else np.zeros(len(tokens), np.int64)
                 q2 = block.levels(_pair(before, tokens)) if block else np.zeros(len(tokens), np.uint8)
-                cv = block.counts(np.array([END]))[0] if block else 0
-                known = [old_c1[i].as_py() for i in range(lo, hi)]
-                if known and known[0] is not None:  # an earlier pass: each key is in one block
-                    # The first value of a text's counts is that of its first context.
-                    was = [np.frombuffer(x, np.int64) for x in known]
-                    cv = max(cv, was[0][0])
-                    c1 = np.maximum(c1, np.concatenate([x[1:] for x in was]))
-                    q2 = np.maximum(q2, np.frombuffer(b"".join(old_q2[i].as_py() for i in range(lo, hi)), np.uint8))
-                if not last:
-                    out += [{"c1": np.append(cv, c1[a:b]).tobytes(), "q2": q2[a:b].tobytes()} for a, b in zip(starts, starts[1:])]
-                    continue
-                p1 = (c1 + 0.5) / below
-                context = np.empty_like(c1)
-                context[1:] = c1[:-1]
-                context[starts[:-1]] = cv
-                p2 = np.minimum(least_count(q2.astype(np.int64)), context) / np.maximum(context, 1)
-                p = np.where(context > 0, (1 - weight) * p1 + weight * p2, p1)
-                base, best = np.log10(p1), np.log10(p)
-                out += [{"n_tokens": int(b - a), "n_known": int((c1[a:b] > 0).sum()), "base_score": float(base[a:b].sum()), "score": float(best[a:b].sum())} for a, b in zip(starts, starts[1:])]
-            yield pa.array(out, kind)
+                out += [dict(zip(_KIND.names, x)) for x in _scores(c1, q2, end, starts, n, v, weight)]
+            yield pa.array(out, _KIND)
 
     # Not deterministic in name, so that no filter copies the call below itself.
-    look_up = look_up.asNondeterministic()
-    got = docs.withColumn("_got", look_up(F.col(text).cast("string"), F.col("_c1"), F.col("_q2")))
-    if not last:
-        return got.withColumns({"_c1": F.col("_got.c1"), "_q2": F.col("_got.q2")}).drop("_got")
-    return got.withColumns({"n_tokens": F.col("_got.n_tokens"), "n_known": F.col("_got.n_known"), "train_tokens": F.lit(n).cast("long"), "base_score": F.col("_got.base_score"), "score": F.col("_got.score")}).drop("_got", "_c1", "_q2")
+    return look_up.asNondeterministic()
+
+
+def _parcels(rows: DataFrame) -> DataFrame:
+    """(parcel, words, tokens, starts, digests): about AT_ONCE tokens of the texts,
+    as numbers of their distinct words."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, number = TaskContext.get().partitionId(), 0
+        tokens, sizes, digests, held = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            words, place = np.unique(np.concatenate(tokens), return_inverse=True)
+            starts = np.append(0, np.cumsum(np.concatenate(sizes)))
+            blobs = [words, place.astype(np.uint32), starts.astype(np.int64), np.concatenate(digests)]
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | number], pa.int64())] + [pa.array([x.tobytes()], pa.binary()) for x in blobs], ["parcel", "words", "tokens", "starts", "digests"])
+
+        for batch in batches:
+            h = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)
+            for lo, hi, words, at in word_hashes(batch.column(2)):
+                own, _, starts = _tokens(words, at)
+                tokens.append(own)
+                sizes.append(np.diff(starts))
+                digests.append(h[lo:hi])
+                held += len(own)
+                if held >= AT_ONCE:
+                    yield flush()
+                    tokens, sizes, digests, held, number = [], [], [], 0, number + 1
+        if tokens:
+            yield flush()
+
+    return rows.mapInArrow(work, "parcel long, words binary, tokens binary, starts binary, digests binary")
+
+
+def _unpacked(words: bytes, tokens: bytes, starts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of a parcel, their numbers token by token, the bigram of each
+    token, and where texts begin."""
+    names, place, at = np.frombuffer(words, _U), np.frombuffer(tokens, np.uint32), np.frombuffer(starts, np.int64)
+    flat = names[place]
+    before = np.append(END, flat[:-1])
+    before[at[:-1]] = END
+    return names, place, _pair(before, flat), at
+
+
+def _ask_segments(rows: DataFrame, model: DataFrame, shift: int, n: int, v: int, weight: float, path: str) -> DataFrame:
+    """(h1, h2, results) of the texts, each segment asked once a parcel."""
+    parcels = saved(_parcels(rows), f"{path}/parcels")
+    copies = 1 + parcels.count() // PARCELS
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for parcel, *blobs in zip(*(c.to_pylist() for c in batch.columns)):
+                names, _, pairs, _ = _unpacked(*blobs)
+                found = list(_segment_rows([(names,), (np.unique(pairs),)], shift))
+                for k in range(0, len(found), 64):
+                    segment, words, two = zip(*found[k : k + 64])
+                    m = len(segment)
+                    yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array([parcel % copies] * m, pa.int32()), pa.array([parcel] * m, pa.int64()), pa.array(words, pa.binary()), pa.array(two, pa.binary())], ["segment", "copy", "parcel", "asked", "pairs"])
+
+    def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        block = None
+        if len(held):
+            r = held.iloc[0]
+            block = ModelBlock(shift, [r["segment"]], r["words"], r["counts"], r["filter"], [len(r["filter"])])
+        for segment, parcel, words, pairs in zip(asked["segment"], asked["parcel"], asked["asked"], asked["pairs"]):
+            ones, twos = np.frombuffer(words, _U), np.frombuffer(pairs, _U)
+            c1 = block.counts(ones) if block else np.zeros(len(ones), np.int64)
+            q2 = block.levels(twos) if block else np.zeros(len(twos), np.uint8)
+            out.append((parcel, segment, c1.astype(np.int64).tobytes(), q2.tobytes()))
+        return pd.DataFrame(out, columns=["parcel", "segment", "c1", "q2"])
+
+    def finish(parcel: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        r, answers = parcel.iloc[0], answers.sort_values("segment")
+        names, place, pairs, at = _unpacked(r["words"], r["tokens"], r["starts"])
+        some, back = np.unique(pairs, return_inverse=True)
+        # Segments are the hashes' top bits: answers in their order are in the keys' order.
+        ones, twos = np.frombuffer(b"".join(answers["c1"]), np.int64), np.frombuffer(b"".join(answers["q2"]), np.uint8)
+        if len(ones) != len(names) or len(twos) != len(some):
+            raise RuntimeError("a parcel misses answers")
+        found = _scores(ones[place], twos[back], int(ones[np.searchsorted(names, END)]), at, n, v, weight)
+        digests = np.frombuffer(r["digests"], np.int64).reshape(-1, 2)
+        return pd.DataFrame([(a, b, *x) for (a, b), x in zip(digests.tolist(), found)], columns=["h1", "h2", *_KIND.names])
+
+    asked = parcels.select("parcel", "words", "tokens", "starts").mapInArrow(split, "segment int, copy int, parcel long, asked binary, pairs binary")
+    held = model.select("segment", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "words", "counts", "filter")
+    who = ["segment", "copy"]
+    answers = asked.groupBy(who).cogroup(held.groupBy(who)).applyInPandas(answer, "parcel long, segment int, c1 binary, q2 binary")
+    answers = saved(answers, f"{path}/answers")
+    return saved(parcels.groupBy("parcel").cogroup(answers.groupBy("parcel")).applyInPandas(finish, f"h1 long, h2 long, {RESULT}"), f"{path}/scores")
