@@ -14,10 +14,15 @@ reach any file system, put it there). A reader seeks to ``k * stride`` and goes
 on from any slot.
 
 Two passes encode the texts: the first keeps a short row a sequence (the
-manifest) and counts each task's, the second writes. Both read the same files in
-the same splits; a task whose sequences differ from the first pass fails rather
-than write a wrong order. Nothing but the records' own bytes is shuffled.
-Writing again into a folder, after a stop, leaves out the shards that are there.
+manifest), the second writes. Encoding again costs less disk than keeping all
+ids beside their shuffle and the shards. Both passes read the same files in the
+same splits; each task of the second one compares the chained CRC of all its
+sequences with the manifest's before it ends, so changed input fails the job
+before anything is written. Records go to range partitions: slots are even over
+their range, so the bounds are known, every partition is a run of whole shards
+of about ``task_bytes``, and nothing is sampled. A task's shards come into place
+when it commits; a stopped job leaves those of the tasks that are done, and
+writing again leaves out all shards that are there in full length.
 
 Defined results: a null or empty text is its end id. Repeated rows are encoded
 each. An empty table has no sequences and no shards.
@@ -61,6 +66,10 @@ def permute(index: np.ndarray, size: int, key: int, *, inverse: bool = False) ->
     return out.astype(np.int64)
 
 
+#: Bytes of shards that one task sorts and writes.
+TASK_BYTES = 128 << 20
+
+
 def _sequences(batches: Iterator[pa.RecordBatch], length: int, end_id: int, stem: str) -> Iterator[tuple[np.ndarray, int, list]]:
     """(ids, how many are real, doc ids) of one task's sequences."""
     encode = encoder(stem).encode
@@ -86,7 +95,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def plan(docs: DataFrame, path: str, *, length: int = 2048, end_id: int | None = None, stem: str = "byte_bpe_50k") -> DataFrame:
-    """First pass: a row (task, number, n_ids, doc_ids, ids_crc32) per sequence, saved at path."""
+    """First pass: a row (task, number, n_ids, doc_ids, ids_crc32, chained) per
+    sequence, saved at path; chained is the CRC of the task's ids so far."""
     bounded_batches(docs.sparkSession)
     dtype, end = _dtype(stem), _end(stem, end_id)
 
@@ -96,17 +106,20 @@ def plan(docs: DataFrame, path: str, *, length: int = 2048, end_id: int | None =
         from pyspark import TaskContext
 
         task, kinds = TaskContext.get().partitionId(), [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+        kinds.append(pa.int64())
         held: list[tuple] = []
-        names = ["task", "number", "n_ids", "doc_ids", "ids_crc32"]
+        names, chained = ["task", "number", "n_ids", "doc_ids", "ids_crc32", "chained"], 0
         for number, (ids, n, own) in enumerate(_sequences(batches, length, end, stem)):
-            held.append((task, number, n, own, zlib.crc32(ids.astype(dtype).tobytes())))
+            raw = ids.astype(dtype).tobytes()
+            chained = zlib.crc32(raw, chained)
+            held.append((task, number, n, own, zlib.crc32(raw), chained))
             if len(held) == 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
                 held = []
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
 
-    return saved(_rows(docs).mapInArrow(work, "task int, number long, n_ids long, doc_ids array<long>, ids_crc32 long"), path)
+    return saved(_rows(docs).mapInArrow(work, "task int, number long, n_ids long, doc_ids array<long>, ids_crc32 long, chained long"), path)
 
 
 def _dtype(stem: str) -> str:
@@ -121,15 +134,17 @@ def stride(length: int, stem: str = "byte_bpe_50k") -> int:
     return length * np.dtype(_dtype(stem)).itemsize + 1
 
 
-def ordered(manifest: DataFrame, *, key: int, per_shard: int, record: int) -> tuple[DataFrame, dict[int, tuple[int, int]], int]:
+def ordered(manifest: DataFrame, *, key: int, per_shard: int, record: int) -> tuple[DataFrame, dict[int, tuple[int, int, int]], int]:
     """The manifest with sequence, slot, shard and byte_offset; by task its first
-    number and count; and the count of all. A number a task comes to the driver."""
-    counts = {r["task"]: r["n"] for r in manifest.groupBy("task").agg(F.count("*").alias("n")).collect()}
+    number, its count and its chained CRC; and the count of all. Three numbers a
+    task come to the driver."""
+    tasks = manifest.groupBy("task").agg(F.count("*").alias("n"), F.max(F.struct("number", "chained")).alias("last"))
+    counts = {r["task"]: (r["n"], r["last"]["chained"]) for r in tasks.collect()}
     first, total = {}, 0
     for t in sorted(counts):
-        first[t] = (total, counts[t])
-        total += counts[t]
-    starts = {t: a for t, (a, _) in first.items()}
+        first[t] = (total, *counts[t])
+        total += counts[t][0]
+    starts = {t: a for t, (a, _, _) in first.items()}
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,32 +156,46 @@ def ordered(manifest: DataFrame, *, key: int, per_shard: int, record: int) -> tu
     return manifest.mapInArrow(work, "sequence long, slot long, shard long, byte_offset long, n_ids long, doc_ids array<long>, ids_crc32 long"), first, total
 
 
-def finished(spark, path: str) -> list[int]:
-    """Shards that an earlier run has left complete in the folder."""
+def finished(spark, path: str, total: int, per_shard: int, record: int) -> list[int]:
+    """Shards that an earlier run has left in the folder in full length. What is
+    there of others is removed."""
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
-    return sorted(int(x.split("=")[1]) for x in names if x.startswith("shard="))
-
-
-def write_shards(docs: DataFrame, first: dict[int, tuple[int, int]], total: int, path: str, *, key: int, length: int = 2048, per_shard: int = 4096, end_id: int | None = None, stem: str = "byte_bpe_50k") -> None:
+    out = []
+    for s in fs.listStatus(folder):
+        name = s.getPath().getName()
+        if not s.isDirectory() or not name.startswith("shard="):
+            continue
+        shard = int(name.split("=")[1])
+        parts = [f.getLen() for f in fs.listStatus(s.getPath()) if f.getPath().getName().startswith("part-")]
+        if parts == [min(per_shard, total - shard * per_shard) * record]:
+            out.append(shard)
+        else:
+            fs.delete(s.getPath(), True)
+    return sorted(out)
+
+
+def write_shards(docs: DataFrame, first: dict[int, tuple[int, int, int]], total: int, path: str, *, key: int, length: int = 2048, per_shard: int = 4096, end_id: int | None = None, stem: str = "byte_bpe_50k", task_bytes: int = TASK_BYTES) -> None:
     """Second pass: writes the shards that aren't in the folder yet."""
     bounded_batches(docs.sparkSession)
-    dtype, end = _dtype(stem), _end(stem, end_id)
-    done = np.array(finished(docs.sparkSession, path), np.int64)
+    dtype, end, record = _dtype(stem), _end(stem, end_id), stride(length, stem)
+    done = np.array(finished(docs.sparkSession, path, total, per_shard, record), np.int64)
     n_shards = -(-total // per_shard)
     if len(done) >= n_shards:
         return
+    run = max(1, task_bytes // (per_shard * record))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zlib
+
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        start, count = first.get(task, (0, 0))
-        number, held = 0, []
+        start, count, want = first.get(task, (0, 0, 0))
+        number, held, chained = 0, [], 0
 
         def flush() -> pa.RecordBatch:
             slot = permute(np.arange(start + number - len(held), start + number), total, key)
@@ -176,17 +205,25 @@ def write_shards(docs: DataFrame, first: dict[int, tuple[int, int]], total: int,
             return pa.RecordBatch.from_arrays([pa.array(shard[keep]), pa.array(slot[keep]), pa.array(rows, pa.binary())], ["shard", "slot", "value"])
 
         for ids, _, _ in _sequences(batches, length, end, stem):
+            if number == count:
+                break
             held.append(ids.astype(dtype).tobytes())
+            chained = zlib.crc32(held[-1], chained)
             number += 1
             if len(held) == 512:
                 yield flush()
                 held = []
-        if number != count:
-            raise RuntimeError(f"task {task} has {number} sequences, not {count} as planned: its input has changed")
-        if held:
-            yield flush()
+        else:
+            if number == count and chained == want:
+                if held:
+                    yield flush()
+                return
+        raise RuntimeError(f"task {task} has other sequences than the {count} planned: its input has changed")
 
     rows = _rows(docs).mapInArrow(work, "shard long, slot long, value binary")
-    laid = rows.repartition(max(1, min(n_shards, 10_000)), "shard").sortWithinPartitions("shard", "slot")
-    out = laid.select("shard", F.col("value").cast("string").alias("value"))
-    out.write.mode("append").partitionBy("shard").option("lineSep", "\n").option("compression", "none").text(path)
+    part = F.floor(F.col("shard") / run).cast("int")
+    laid = rows.repartitionById(-(-n_shards // run), part).sortWithinPartitions("shard", "slot")
+    out = laid.select("shard", F.col("value").cast("string").alias("value")).write.mode("append").partitionBy("shard")
+    # Version 2 moves a task's files into place when the task commits.
+    out = out.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    out.option("lineSep", "\n").option("compression", "none").text(path)
