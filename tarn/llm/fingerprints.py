@@ -7,20 +7,22 @@ array functions, with no Python on the workers.
 
 A sketch of a whole is the merge of its parts' sketches (shingles across the
 parts' border aside), and sketches of any two texts compare: the k smallest of
-their union are a sample of the union of both sets.
+their union are a sample of the union of both sets. ``merge`` takes two, and
+``merged`` all sketches of each group of rows.
 
 Defined results: with fewer words than n the whole sequence is one shingle; a
 null text, or one without words, has an empty sketch. Two empty sketches have
 resemblance and containment 1, an empty and another one 0. Up to k shingles
-all figures are exact.
+all figures are exact. A column named like an output is replaced, others of any
+name are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import row_key, saved, shared_dir
+from tarn.llm.common import row_key, saved, shared_dir, unused
 
 K, WORDS = 128, 5
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -35,12 +37,13 @@ def with_sketch(df: DataFrame, text: str, out: str, *, k: int = K, n: int = WORD
     of their own for the time, so that they are computed once a row."""
     low = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(low, _SPACE, -1), lambda w: w != "")
-    df = df.withColumn("_w", F.transform(words, lambda w: F.xxhash64(w)))
-    w, size = F.col("_w"), F.size("_w")
+    (own,) = unused(df, "w")
+    df = df.withColumn(own, F.transform(words, lambda w: F.xxhash64(w)))
+    w, size = F.col(own), F.size(own)
     runs = F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
     whole = F.array(F.aggregate(w, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x)))
     shingles = F.when(size >= n, runs).when(size > 0, whole).otherwise(F.array().cast("array<long>"))
-    return df.withColumn(out, _least(shingles, k)).drop("_w")
+    return df.withColumn(out, _least(shingles, k)).drop(own)
 
 
 def merge(a: Column, b: Column, *, k: int = K) -> Column:
@@ -48,6 +51,16 @@ def merge(a: Column, b: Column, *, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
+def merged(df: DataFrame, *by: str, sketch: str = "sketch", k: int = K) -> DataFrame:
+    """(by, sketch): the sketch of all rows of each group together. Each task sends
+    at most k hashes a group to the second shuffle, so a group may be of any size."""
+    h, r = unused(df, "h", "r")
+    rows = df.select(*by, F.explode_outer(sketch).alias(h)).distinct()
+    order = Window.partitionBy(*by).orderBy(F.col(h).asc_nulls_last())
+    least = rows.withColumn(r, F.row_number().over(order)).where(F.col(r) <= k)
+    return least.groupBy(*by).agg(F.sort_array(F.collect_list(h)).alias(sketch))
+
+
 def _common(a: Column, b: Column, union: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(union, a), b)).cast("double")
 
@@ -87,9 +100,8 @@ def followed(ids: DataFrame, path: str) -> DataFrame:
     if not heads:
         return parts.select("id", F.col("id").alias("next"))
     after = F.create_map(*[F.lit(x) for (part, _), (_, head) in zip(heads, heads[1:] + heads[:1]) for x in (part, head)])
-    from pyspark.sql import Window
-
     inside = F.lead("id").over(Window.partitionBy("part").orderBy(F.col("id").desc()))
+    # The second is evaluated where the first is null: for the last id of a partition.
     return parts.select("id", F.coalesce(inside, after[F.col("part")]).alias("next"))
 
 

@@ -4,7 +4,8 @@ A document's ids, with an end id appended, are cut into pieces whose lengths
 are powers of two: as many of ``max_len`` as fit, then the binary digits of the
 rest from large to small. Each piece is a sequence of its own, so no sequence
 holds two documents and none needs padding; sequences of one length form a
-bucket, from which a trainer draws whole batches.
+bucket, from which a trainer draws whole batches. ``write_buckets`` lays them out
+so, a folder a bucket.
 
 ``sequence_id`` is bucket, then the task's number, then a running number, so
 that the sequences of one bucket are consecutive ids and all ids are unique.
@@ -73,3 +74,10 @@ def pack(docs: DataFrame, *, max_len: int = 2048, end_id: int = 1, stem: str = "
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SCHEMA)
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Writes pieces as Parquet, a folder ``bucket=b`` for each length 2**b. Each
+    task sorts its own rows by bucket, so it has one file open at a time and
+    nothing is shuffled."""
+    pieces.sortWithinPartitions("bucket", "sequence_id").write.partitionBy("bucket").parquet(path)

@@ -29,6 +29,7 @@ def op2_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.resemblance(own, other).alias("near_next"),
         fingerprints.containment(own, changed).alias("contained_in_edited"),
         fingerprints.distinct_shingles(own).alias("distinct_shingles"),
+        fingerprints.distinct_shingles(fingerprints.merge(own, changed)).alias("shingles_of_both"),
     )
 
 
@@ -59,7 +60,7 @@ def op6_feistel_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_compression_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (fold_of("doc_id", 4) == 2).alias("held_out"))
     model = language_id.fit(docs.where(~F.col("held_out")))
-    return language_id.classify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+    return language_id.classify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score", language_id.accepted().alias("accepted"))
 
 
 def op8_hyperminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
