@@ -71,6 +71,31 @@ def test_pieces_are_powers_of_two_and_cover_each_document(odd, none):
     assert packing.piece_lengths(2048 * 2 + 5, 2048) == [2048, 2048, 4, 1]
 
 
+def test_buckets_are_laid_out_by_length(spark, small_df, tmp_path):
+    pieces = packing.pack(small_df, max_len=256)
+    packing.write_buckets(pieces, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    key = ["sequence_id", "doc_id", "start", "length", "ids"]
+    assert sorted(map(tuple, back.select(key).collect())) == sorted(map(tuple, pieces.select(key).collect()))
+    for b in range(9):
+        assert {r.length for r in spark.read.parquet(str(tmp_path / "b" / f"bucket={b}")).select("length").distinct().collect()} == {1 << b}
+
+
+def test_ids_are_the_librarys_over_the_basic_plane():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tarn.llm.bpe_files import encoder
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plane = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{''.join(plane[k : k + 8])} {plane[k]}x {plane[k]}{plane[k]}  1{plane[k]}" for k in range(0, len(plane), 8)]
+    texts += ["<|endoftext|>", "a<|endoftext|> b", " " * 2000 + "x", "😀👨‍👩‍👧", "don't I'LL we've", "\r\n\n  \t x"]
+    own = encoder("byte_bpe_50k")
+    for t in texts:
+        assert own.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 # 2 fingerprints
 
 
@@ -96,6 +121,30 @@ def test_fingerprints_estimate_and_merge(spark, odd, none, small_df, small):
     assert r.m == r.sa and r.one == 1.0 and 0 < r.c <= 1
 
 
+def test_sketches_of_parts_merge_to_that_of_the_whole(spark, small):
+    parts = [(k % 3, t) for k, (_, t) in enumerate(small[:60])] + [(7, ""), (7, None), (8, "one two"), (None, "three four")] + [(9, small[5][1])] * 40
+    df = fingerprints.with_sketch(spark.createDataFrame(parts, "part long, text string"), "text", "sketch", k=64)
+    got = {r.part: r.sketch for r in fingerprints.merged(df, "part", k=64).collect()}
+    each = {}
+    for r in df.collect():
+        each.setdefault(r.part, set()).update(r.sketch)
+    assert got == {k: sorted(v)[:64] for k, v in each.items()} and got[7] == []
+
+
+def test_edited_texts_of_repeated_and_missing_ids(odd):
+    rows = fingerprints.edited(odd).collect()
+    assert len(rows) == odd.count()
+    docs = odd.select("doc_id", "text").collect()
+    keys = sorted({2**63 - 1 if r.doc_id is None else r.doc_id for r in docs}, reverse=True)
+    texts = {}
+    for r in docs:
+        texts.setdefault(2**63 - 1 if r.doc_id is None else r.doc_id, []).append(r.text or "")
+    for r in rows:
+        following = min(texts[keys[(keys.index(r.id) + 1) % len(keys)]])
+        half = len(r.text) // 2
+        assert r.text in texts[r.id] and r.edited == r.text[: len(r.text) - half] + following[:half]
+
+
 # 3 decontamination
 
 
@@ -114,8 +163,20 @@ def test_items_are_found_as_by_brute_force(spark, odd, none):
         assert {(x.doc_id, x.item_id): x.shared for x in got} == brute.contained_items(docs, items)
     assert {(x.doc_id, x.item_id) for x in decontamination.find_items(odd, items_df).collect()} == {(9, 23)}
     assert decontamination.find_items(none, items_df).count() == 0 and decontamination.find_items(odd, items_df.limit(0)).count() == 0
-    kept = decontamination.clean(odd, items_df)
-    assert kept.columns == odd.columns and kept.count() == odd.count() - 1
+    for chars in (1 << 20, 200):
+        kept = decontamination.clean(odd, items_df, block_chars=chars)
+        assert kept.columns == odd.columns and kept.count() == odd.count() - 1
+
+
+def test_clean_judges_rows_by_their_own_texts(spark):
+    item = filler(130, 20)
+    rows = [(None, item), (None, "clean"), (1, item), (1, "clean"), (2, None), (3, item), (3, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, filler(131, 30))], "item_id long, text string")
+    for chars in (1 << 20, 20):
+        got = sorted((r.doc_id or 0, r.text or "") for r in decontamination.clean(docs, items, block_chars=chars).collect())
+        assert got == [(0, "clean"), (1, "clean"), (2, "")]
+        assert len(decontamination.find_items(docs, items, block_chars=chars).collect()) == 4
 
 
 # 4 language model
@@ -127,7 +188,7 @@ def test_scores_are_exact_bases_and_smoothed_bigrams(spark, small, small_df):
     n, v = sum(ones.values()), len(ones)
     model = lm_scoring.train(spark.createDataFrame(train, "doc_id long, text string"), lm_scoring.shared_dir(spark) + "/m").cache()
     one = {r.doc_id: r for r in lm_scoring.score(small_df, model).collect()}
-    many = {r.doc_id: r for r in lm_scoring.score(small_df, model, block_bytes=60_000).collect()}
+    many = {r.doc_id: r for r in lm_scoring.score(small_df, model, block_bytes=0).collect()}
     close = 0
     for i, t in small:
         w = [*brute.words(t), None]
@@ -142,6 +203,32 @@ def test_scores_are_exact_bases_and_smoothed_bigrams(spark, small, small_df):
     assert close >= 0.95 * len(small)
 
 
+def test_segments_answer_as_the_broadcast_model_does(spark, odd, small_df, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "AT_ONCE", 3000)
+    monkeypatch.setattr(lm_scoring, "PER_SEGMENT", 2000)
+    monkeypatch.setattr(lm_scoring, "PARCELS", 4)
+    for docs in (odd.select("doc_id", "text", F.lit(1).alias("h1"), F.lit(2).alias("got")), small_df):
+        model = lm_scoring.train(docs.where("doc_id % 3 > 0"), lm_scoring.shared_dir(spark) + "/m")
+        names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        one, many = (sorted((tuple(r) for r in lm_scoring.score(docs, model, block_bytes=b).select(names).collect()), key=str) for b in (1 << 30, 0))
+        assert len(one) == docs.count() and [x[:4] for x in one] == [x[:4] for x in many]
+        assert [y for x in one for y in x[4:]] == pytest.approx([y for x in many for y in x[4:]])
+    assert lm_scoring.score(docs.limit(0), model, block_bytes=0).count() == 0
+
+
+def test_rows_sent_by_training_grow_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "AT_ONCE", 2000)
+    monkeypatch.setattr(lm_scoring, "PER_SEGMENT", 20)
+    sent = []
+    for n in (20, 80):
+        docs = spark.createDataFrame([(filler(4000 + k, 1000),) for k in range(n)], "text string").repartition(2)
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+        rows = lm_scoring.counted(docs, lm_scoring.segments_for(size))
+        sent.append(rows.count())
+        assert rows.where("length(k1) + length(k2) = 0").count() == 0
+    assert 3 <= sent[1] / sent[0] <= 5
+
+
 def test_unseen_bigrams_seldom_pass_the_filter():
     keys = wh.mix(np.arange(1, 320_001, dtype=np.uint64))
     held, unseen = np.sort(keys[:20_000]), keys[20_000:]
@@ -178,6 +265,33 @@ def test_lines_of_odd_tables(odd, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_repeated_rows_and_long_texts_lose_lines_as_one_document(spark):
+    line, other = "a line that is long enough", "another line of some length"
+    many = "\n".join(f"line number {k}" for k in range(20_000))
+    rows = [(1, f"{line}\nx"), (1, f"{line}\nx"), (1, f"{line}\n{other}"), (2, f"{line}\n{line}\nkept by number two"), (2, f"{line}\n{line}\nkept by number two"), (None, f"{other}\nkept by number two"), (3, many), (4, many + "\ntail")]
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.text[-20:]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=3).collect())
+    want = [(0, 2, 2, ""), (1, 2, 0, f"{line}\nx"[-20:]), (1, 2, 0, f"{line}\nx"[-20:]), (1, 2, 0, f"{line}\n{other}"[-20:])]
+    want += [(2, 3, 2, "kept by number two")] * 2 + [(3, 20_000, 0, many[-20:]), (4, 20_001, 20_000, "tail")]
+    assert got == sorted(want)
+
+
+def test_a_kept_store_drops_lines_of_earlier_calls(spark, small, tmp_path):
+    from tarn.llm.first_seen import RunStore
+
+    path, half = f"file://{tmp_path}/store", len(small) // 2
+    parts = [spark.createDataFrame(x, "doc_id long, text string") for x in (sorted(small)[:half], sorted(small)[half:])]
+    store = RunStore(spark, path, fanout=2)
+    one = by_id(line_dedup.dedup_lines(parts[0], store=store), "n_lines", "n_dropped", "text")
+    store.close()
+    store = RunStore.open(spark, path)
+    two = by_id(line_dedup.dedup_lines(parts[1], store=store), "n_lines", "n_dropped", "text")
+    assert one | two == brute.dedup_lines(small)
+    store.close()
+    again = by_id(line_dedup.dedup_lines(parts[1], store=RunStore.open(spark, path)), "n_dropped", "text")
+    whole = brute.dedup_lines(small + [(10**6 + i, t) for i, t in small])
+    assert again == {i: whole[10**6 + i][1:] for i in again}
+
+
 # 6 training order
 
 
@@ -210,12 +324,50 @@ def test_shards_round_trip_and_resume(spark, odd, none, tmp_path):
     import shutil
 
     shutil.rmtree(next((tmp_path / "s").glob("shard=1")))
+    short = next((tmp_path / "s").glob("shard=2/part*"))  # one that a stop has cut off
+    short.write_bytes(short.read_bytes()[:100])
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "s").glob("shard=*/part*") if p != short}
     write()
-    assert read() == before
+    assert read() == before and all(p.stat().st_mtime_ns == t for p, t in kept.items())
+    # Each document's ids, from the records in the order of sequences, are the library's.
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    stream = []
+    for r in sorted(rows, key=lambda r: r.sequence):
+        record = before[r.shard][r.byte_offset :][: 2 * length]
+        stream.append((np.frombuffer(record, "<u2")[: r.n_ids].tolist(), r.doc_ids))
+    flat = [x for ids, _ in stream for x in ids]
+    texts = sorted(library.encode(r.text or "", add_special_tokens=False).ids + [50256] for r in odd.collect())
+    cut, got = [], []
+    for x in flat:
+        cut.append(x)
+        if x == 50256:
+            got.append(cut)
+            cut = []
+    assert sorted(got) == texts and not cut
+    assert {d for _, ids in stream for d in ids} == {r.doc_id for r in odd.collect()}
     empty = training_order.plan(none, f"{path}/e", length=length)
     assert training_order.ordered(empty, key=7, per_shard=per, record=1)[2] == 0
+    # Input of equal counts but other ids writes nothing.
+    changed = odd.withColumn("text", F.when(F.col("doc_id") == 9, F.concat(F.lit("X"), F.substring("text", 2, 10**6))).otherwise(F.col("text")))
     with pytest.raises(Exception):
-        training_order.write_shards(odd, {t: (a, n + 1) for t, (a, n) in first.items()}, total + 1, f"{path}/x", key=7, length=length, per_shard=per)
+        training_order.write_shards(changed, first, total, f"{path}/x", key=7, length=length, per_shard=per)
+    assert not list((tmp_path / "x").glob("shard=*"))
+    with pytest.raises(Exception):
+        training_order.write_shards(odd, {t: (a, n + 1, c) for t, (a, n, c) in first.items()}, total + 1, f"{path}/x", key=7, length=length, per_shard=per)
+
+
+def test_a_task_writes_runs_of_whole_shards(spark, odd, tmp_path):
+    path, length, per = f"file://{tmp_path}", 64, 16
+    _, first, total = training_order.ordered(training_order.plan(odd, f"{path}/m", length=length), key=7, per_shard=per, record=1)
+    training_order.write_shards(odd, first, total, f"{path}/s", key=7, length=length, per_shard=per, task_bytes=3 * per * training_order.stride(length))
+    tasks = {}
+    for p in (tmp_path / "s").glob("shard=*/part*"):
+        tasks.setdefault(p.name.split("-")[1], []).append(int(p.parent.name.split("=")[1]))
+    n = -(-total // per)
+    assert sorted(sorted(x) for x in tasks.values()) == [list(range(a, min(n, a + 3))) for a in range(0, n, 3)]
 
 
 # 7 language ID
@@ -244,6 +396,38 @@ def test_language_of_odd_tables(odd, none):
     assert {r.sure for r in language_id.classify(odd, {"en": model["en"]}, score="sure").where("doc_id = 1").collect()} == {1.0}
 
 
+def test_predictions_as_by_plain_compression(spark, small):
+    import zstandard as zstd
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.fit(docs)
+    coders = {}
+    for name, raw in model.items():
+        how = zstd.ZstdCompressionParameters.from_level(12, source_size=2048, dict_size=len(raw), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0)
+        coders[name] = zstd.ZstdCompressor(dict_data=zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT), compression_params=how)
+    got = by_id(language_id.classify(docs.drop("lang", "source"), model), "lang_pred", "score")
+    held = dict(small)
+    for i, (pred, score) in got.items():
+        raw = (held[i] or "").lower().encode()
+        if not any(c.isalpha() for c in held[i] or ""):
+            assert pred == "und" and score == 0
+            continue
+        sizes = {k: sum(len(c.compress(raw[j : j + 2048])) for j in range(0, len(raw), 2048)) for k, c in coders.items()}
+        assert sizes[pred] == min(sizes.values())
+        least, second = sorted(sizes.values())[:2]
+        assert score == pytest.approx(1 - least / second) or (least == second and 0 <= score < 1 / least)
+
+
+def test_samples_are_bounded_and_of_the_smallest_hashes(spark, odd):
+    docs = spark.range(5000).select(F.concat(F.lit("text of number "), F.col("id")).alias("text"), F.lit("aa").alias("lang"))
+    order = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    want = [r.text for r in docs.orderBy(order).limit(10).collect()]
+    assert language_id.fit(docs, docs_per_language=10) == {"aa": "\n".join(want).encode()}
+    assert len(language_id.fit(docs, dict_bytes=100)["aa"]) == 100
+    with pytest.raises(ValueError):
+        language_id.fit(odd, max_languages=2)
+
+
 def test_a_language_of_copies_keeps_its_dictionary(spark):
     copies = [f"ein satz der nummer {k} von vielen" for k in range(3)]
     few = spark.range(60_000).select(F.element_at(F.array(*map(F.lit, copies)), (F.col("id") % 3 + 1).cast("int")).alias("text"), F.lit("aa").alias("lang"))
@@ -356,6 +540,25 @@ def test_token_counts_as_the_library(small, extra):
     assert token_counts.Counter("byte_bpe_50k.json").count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+def test_long_unbroken_texts_count_in_time():
+    import time
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own, r = token_counts.Counter("byte_bpe_50k.json"), random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    blob = "".join(r.choices(letters, k=1_000_000))
+    began = time.time()
+    got = own.count([blob])
+    took = time.time() - began
+    print(f"1 MB of letters: {took:.1f} s")
+    assert took < 10
+    texts = [blob, *("".join(r.choices("etaoin", k=r.randint(400, 1500))) for _ in range(150)), "a" * 5001, "ab" * 3000, "aab" * 1000 + "b" * 777, "漢字" * 900]
+    assert got + own.count(texts[1:]) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_token_counts_of_odd_tables(odd, none):
     out = token_counts.with_token_counts(odd)
     assert {r.n_tokens for r in out.where("text is null or text = ''").collect()} == {0}
@@ -396,3 +599,64 @@ def test_spans_of_odd_tables(odd, none):
     out = span_dedup.dedup_spans(odd)
     assert out.columns == [*odd.columns, "n_sentences", "n_removed", "repeats_of"] and out.count() == odd.count()
     assert span_dedup.dedup_spans(none).count() == 0
+
+
+# All
+
+
+def _applied(spark, docs, name):
+    items = spark.createDataFrame([(1, "an item that none of the texts holds at all")], "item_id long, text string")
+    model = lambda: lm_scoring.train(docs, lm_scoring.shared_dir(spark) + "/m")
+    return {
+        "sketch": lambda: fingerprints.with_sketch(docs, "text", "sketch"),
+        "clean": lambda: decontamination.clean(docs, items),
+        "clean in blocks": lambda: decontamination.clean(docs, items.unionAll(items), block_chars=10),
+        "score": lambda: lm_scoring.score(docs, model()),
+        "score by segment": lambda: lm_scoring.score(docs, model(), block_bytes=0),
+        "lines": lambda: line_dedup.dedup_lines(docs),
+        "language": lambda: language_id.classify(docs, language_id.fit(docs)),
+        "near": lambda: minhash_dedup.near_duplicates(docs),
+        "tokens": lambda: token_counts.with_token_counts(docs),
+        "spans": lambda: span_dedup.dedup_spans(docs, min_words=12, alone=25),
+    }[name]()
+
+
+OUTPUTS = {
+    "sketch": ["sketch"], "clean": [], "clean in blocks": [], "score": ["n_tokens", "n_known", "train_tokens", "base_score", "score"], "score by segment": ["n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "lines": ["text", "n_lines", "n_dropped"], "language": ["lang_pred", "score"], "near": ["n_shingles", "component_id", "kept"], "tokens": ["n_tokens"], "spans": ["text", "n_sentences", "n_removed", "repeats_of"],
+}
+HELPERS = "id _id tag _tag own w _w got _got done out lost sources others parcel h1 h2 d1 d2 dirty bucket batch pos key earlier component node rep _judged judged _cut _gone _of _text _c1 _q2 value shard slot".split()
+
+
+@pytest.mark.parametrize("name", OUTPUTS)
+def test_columns_of_any_name_come_back(spark, odd, name):
+    clashing = sorted({c for x in OUTPUTS.values() for c in x} - {"text"}) + HELPERS
+    docs = odd.select("doc_id", "text", "lang", *[F.concat(F.lit(f"{c} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in clashing])
+    got = _applied(spark, docs, name)
+    outputs = OUTPUTS[name]
+    assert sorted(got.columns) == sorted(docs.columns if not outputs else {*docs.columns, *outputs})
+    plain = _applied(spark, odd.select("doc_id", "text", "lang"), name)
+    kept = [c for c in docs.columns if c not in outputs]
+    assert sorted(map(str, got.select(kept).collect())) == sorted(map(str, docs.select(kept).collect()))
+    if outputs:
+        assert sorted(map(str, got.select("doc_id", *outputs).collect())) == sorted(map(str, plain.select("doc_id", *outputs).collect()))
+
+
+def test_row_makers_ignore_other_columns(spark, odd):
+    docs = odd.select("doc_id", "text", *[F.lit(c).alias(c) for c in ["ids", "start", "length", "sequence_id", "offset", "task", "number", "n_ids", "item_id", "shared", "sketch", "edited", "half", "next"]])
+    assert sorted(packing.pack(docs).select("doc_id", "start", "ids").collect(), key=str) == sorted(packing.pack(odd).select("doc_id", "start", "ids").collect(), key=str)
+    assert fingerprints.edited(docs).count() == docs.count()
+    path = lm_scoring.shared_dir(spark)
+    assert training_order.plan(docs, f"{path}/a", length=64).count() == training_order.plan(odd, f"{path}/b", length=64).count()
+    item = spark.createDataFrame([(1, filler(2, 4000)[500:700])], "item_id long, text string")
+    assert decontamination.find_items(docs, item).count() == 1
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    from types import SimpleNamespace
+
+    from tarn.llm import common
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        common.shared_dir(far)

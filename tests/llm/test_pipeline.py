@@ -1,5 +1,7 @@
 """The pipeline's stages, each on its own input, and as a whole."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm import brute
 
@@ -13,6 +15,19 @@ def test_stages_keep_the_columns_of_documents(spark, odd, none, tmp_path):
         assert stage(spark, none.select(docs.columns), folder).count() == 0, name
 
 
+def test_stages_bring_columns_of_any_name_through(spark, odd, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, "no such passage in any of these documents at all")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    names = ["lang_pred", "score", "n_lines", "n_dropped", "n_shingles", "component_id", "kept", "id", "_id", "others", "tag", "out"]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", *[F.concat_ws(" ", F.lit(c), F.col("doc_id")).alias(c) for c in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, folder)
+        want = stage(spark, odd.select(docs.columns[:5]), folder)
+        assert got.columns == docs.columns, name
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect())), name
+        assert all(r[c] == f"{c} {r.doc_id}" for r in got.where("doc_id is not null").collect() for c in names), name
+
+
 def test_whole_run_against_plain_stages(spark, tmp_path):
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
