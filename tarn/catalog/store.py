@@ -110,6 +110,22 @@ class Catalog:
             raise DialectError(f"Object '{full[2]}' does not exist or not authorized", "002003")
         self.spark.sql(f"DROP TABLE {self.sql_name(full)}")
 
+    def rename(self, full: tuple[str, str, str], new: tuple[str, str, str]) -> None:
+        if new in self.views or self.has_table(new):
+            raise DialectError(f"Object '{new[2]}' already exists", "002002")
+        if full in self.views:
+            self.views[new] = self.views.pop(full)
+        elif new[:2] == full[:2]:
+            self.spark.sql(f"ALTER TABLE {self.sql_name(full)} RENAME TO {self.sql_name(new)}")
+        else:  # into another schema, which the session catalog can't do
+            self.write(new, self.spark.table(self.sql_name(full)))
+            self.drop_table(full)
+
+    def swap(self, a: tuple[str, str, str], b: tuple[str, str, str]) -> None:
+        aside = (*a[:2], f"{a[2]}__{uuid.uuid4().hex[:8]}")
+        for old, new in ((a, aside), (b, a), (aside, b)):
+            self.rename(old, new)
+
     # Rows
 
     def write(self, full: tuple[str, str, str], df: DataFrame, *, replace: bool = False) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tarn.catalog import information_schema
 from tarn.dialect.lexer import DialectError, Group, Item, find, name_of, parse, render, split, unquote
 from tarn.dialect.rewrite import cast_type
-from tarn.operators.merge import Clause, merge
+from tarn.operators.merge import Clause, merge, once
 from tarn.sources import files
 
 OK = "Statement executed successfully."
@@ -218,13 +218,59 @@ def alter(s, items: list[Item]) -> DataFrame:
                 if not t.is_op(","):
                     s.settings.pop(t.text.lower(), None)
         return s.status(OK)
-    if r.accept("table"):
+    if r.accept("table") or r.accept("view"):
         missing_ok = r.accept("if", "exists")
         full = s.full_name(r.name())
-        if not s.catalog.has_table(full) and not missing_ok:
+        if not s.catalog.has_table(full) and full not in s.catalog.views:
+            if missing_ok:
+                return s.status(OK)
             raise DialectError(f"Table '{full[2]}' does not exist or not authorized", "002003")
+        _alter_table(s, full, r)
         return s.status(OK)
-    raise DialectError("ALTER is for SESSION and TABLE")
+    raise DialectError("ALTER is for SESSION, TABLE and VIEW")
+
+
+def _alter_table(s, full: tuple[str, str, str], r: Reader) -> None:
+    """Names change in the catalog; changes of columns write the table anew."""
+    if r.accept("rename", "to"):
+        return s.catalog.rename(full, s.full_name(r.name()))
+    if r.accept("swap", "with"):
+        return s.catalog.swap(full, s.full_name(r.name()))
+    if r.peek() is not None and r.peek().is_word("set", "unset", "cluster", "resume", "suspend", "recluster"):
+        return None  # properties, of which this engine has none
+    if full in s.catalog.views:
+        raise DialectError("a view's columns can't be altered")
+    df = s.read_table(full)
+    if r.accept("rename", "column"):
+        old = name_of(r.next())
+        r.accept("to")
+        new = name_of(r.next())
+        _need(df, old, full)
+        df = df.withColumnRenamed(old, new)
+    elif r.accept("drop"):
+        r.accept("column")
+        missing_ok = r.accept("if", "exists")
+        for part in split(r.rest()):
+            if not missing_ok:
+                _need(df, name_of(part[0]), full)
+            df = df.drop(name_of(part[0]))
+    elif r.accept("add"):
+        r.accept("column")
+        exists_ok = r.accept("if", "not", "exists")
+        for f in _columns(Group("(", r.rest())):
+            if f.name.lower() in (c.lower() for c in df.columns):
+                if exists_ok:
+                    continue
+                raise DialectError(f"column '{f.name}' already exists", "001430")
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    else:
+        raise DialectError(f"ALTER TABLE {render(r.rest())} is not supported")
+    s.catalog.write(full, df, replace=True)
+
+
+def _need(df: DataFrame, column: str, full: tuple[str, str, str]) -> None:
+    if column.lower() not in (c.lower() for c in df.columns):
+        raise DialectError(f"column '{column}' of '{full[2]}' does not exist", "000904")
 
 
 def use(s, items: list[Item]) -> DataFrame:
@@ -424,12 +470,16 @@ def merge_into(s, items: list[Item]) -> DataFrame:
     full, (rows, counts) = merge_plan(s, items)
     # Rows whose clause is `insert` and that were there before don't exist, so
     # one pass that is kept gives both the counts and the new table.
-    rows = rows.persist()
+    kept = rows = rows.persist()
     try:
+        try:
+            rows = once(rows)
+        except ValueError as e:
+            raise DialectError(str(e), "100090") from e
         told = rows.agg(*counts.values()).first().asDict()
-        s.catalog.write(full, rows.where("_keep").drop("_clause", "_keep"), replace=True)
+        s.catalog.write(full, rows.where("_keep").drop("_clause", "_keep", "_row"), replace=True)
     finally:
-        rows.unpersist()
+        kept.unpersist()
     return s.status(**told)
 
 
@@ -528,14 +578,34 @@ def describe(s, items: list[Item]) -> DataFrame:
 
 
 def explain(s, items: list[Item]) -> DataFrame:
+    """Rows (plan_type, plan). VERBOSE adds the plan as it was written; ANALYZE runs
+    the query and gives each operator's rows."""
     r = Reader(items)
-    mode = "formatted" if r.accept("verbose") or r.accept("analyze") else "simple"
+    verbose, analyze = r.accept("verbose"), r.accept("analyze")
     if r.peek().is_word("using"):
         r.i += 2
     rest = r.rest()
     df = merge_plan(s, rest[1:])[1][0] if rest[0].is_word("merge") else s.query(rest)
-    text = s.spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), mode)
-    return _rows(s, ("plan_type", "plan"), [("physical_plan", text)])
+    run = df._jdf.queryExecution()
+    if analyze:
+        run.toRdd().count()
+        return _rows(s, ("plan_type", "plan"), [("Plan with Metrics", "\n".join(_measured(run.executedPlan(), 0)))])
+    out = [("logical_plan", run.optimizedPlan().toString()), ("physical_plan", s.spark._jvm.PythonSQLUtils.explainString(run, "formatted" if verbose else "simple"))]
+    return _rows(s, ("plan_type", "plan"), ([("initial_logical_plan", run.logical().toString())] if verbose else []) + out)
+
+
+def _measured(node, depth: int) -> list[str]:
+    """An executed plan as lines, each operator with the rows it made."""
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return _measured(node.executedPlan(), depth)
+    if node.nodeName().endswith("QueryStage"):
+        return _measured(node.plan(), depth)
+    rows = node.metrics().get("numOutputRows")
+    out = [f"{'  ' * depth}{node.nodeName()}" + (f", metrics=[output_rows={rows.get().value()}]" if rows.isDefined() else "")]
+    children = node.children()
+    for k in range(children.size()):
+        out += _measured(children.apply(k), depth + 1)
+    return out
 
 
 def nothing(s, items: list[Item]) -> DataFrame:

@@ -1,7 +1,9 @@
 """Array functions on JSON text. ``F`` takes an array apart into JSON texts,
-``J`` puts it together again; a needle is compared in its JSON form."""
+``J`` puts it together again; a needle is compared in its JSON form. Arguments
+that a text needs several times are bound once, so nested calls grow in
+proportion to their depth."""
 
-from tarn.functions.registry import register, templates
+from tarn.functions.registry import bound, register, templates
 from tarn.functions.semi import fragment
 
 
@@ -24,29 +26,28 @@ register("array_distinct", lambda a: J(f"array_distinct({F(a[0])})"))
 register("array_except", lambda a: J(f"filter({F(a[0])}, x -> NOT array_contains({F(a[1])}, x))"))
 register("array_intersection", lambda a: J(f"filter({F(a[1])}, x -> array_contains({F(a[0])}, x))"))
 register("arrays_overlap", lambda a: f"arrays_overlap({F(a[0])}, {F(a[1])})")
-register("array_flatten", lambda a: f"if(exists({F(a[0])}, x -> x = 'null'), NULL, {J('flatten(transform(' + F(a[0]) + ', e -> ' + F('e') + '))')})")
+register("array_flatten", lambda a: bound("if(exists({f}, x -> x = 'null'), NULL, " + J("flatten(transform({f}, e -> " + F("e") + "))") + ")", f=F(a[0])))
 _RANGE = "if({0} < {1}, sequence(cast({0} as bigint), cast({1} as bigint) - 1, cast({2} as bigint)), array())"
 _DOWN = "if({2} > 0, " + _RANGE + ", if({0} > {1}, sequence(cast({0} as bigint), cast({1} as bigint) + 1, cast({2} as bigint)), array()))"
-register("array_generate_range generate_range", lambda a: "to_json(" + (_RANGE if len(a) < 3 else _DOWN).replace("{0}", a[0]).replace("{1}", a[1]).replace("{2}", a[2] if len(a) > 2 else "1") + ")")
-register("array_insert", lambda a: J(f"array_insert({F(a[0])}, if({a[1]} >= 0, cast({a[1]} as int) + 1, cast({a[1]} as int)), {fragment(a[2])})"))
+register("array_generate_range generate_range", lambda a: bound("to_json(" + (_RANGE if len(a) < 3 else _DOWN).format("{lo}", "{hi}", "{step}") + ")", lo=a[0], hi=a[1], step=a[2] if len(a) > 2 else "1"))
+register("array_insert", lambda a: bound(J("array_insert({f}, if({n} >= 0, {n} + 1, {n}), {x})"), f=F(a[0]), n=f"cast({a[1]} as int)", x=fragment(a[2])))
 register("array_remove", lambda a: J(f"array_remove({F(a[0])}, {fragment(a[1])})"))
 
 
 def _remove_at(args: list[str]) -> str:
-    f, n = F(args[0]), f"if({args[1]} < 0, size({F(args[0])}) + {args[1]}, {args[1]})"
-    kept = f"filter({f}, (x, i) -> i <> {n})"
-    return f"if({n} < 0 OR {n} >= size({f}), NULL, {J(kept)})"
+    n = "if({n} < 0, size({f}) + {n}, {n})"
+    return bound(f"if({n} < 0 OR {n} >= size({{f}}), NULL, {J(f'filter({{f}}, (x, i) -> i <> {n})')})", f=F(args[0]), n=f"cast({args[1]} as int)")
 
 
 register("array_remove_at", _remove_at)
 register("array_reverse", lambda a: J(f"reverse({F(a[0])})"))
-register("array_size", lambda a: f"if(ltrim({a[0]}) LIKE '[%', json_array_length({a[0]}), NULL)")
+register("array_size", lambda a: bound("if(ltrim({x}) LIKE '[%', json_array_length({x}), NULL)", x=a[0]))
 
 
 def _slice(args: list[str]) -> str:
-    f = F(args[0])
-    lo, hi = (f"if({x} < 0, size({f}) + {x}, {x})" for x in args[1:3])
-    return J(f"slice({f}, cast({lo} as int) + 1, cast(greatest(0, least({hi}, size({f})) - {lo}) as int))")
+    lo, hi = ("if({%s} < 0, size({f}) + {%s}, {%s})".replace("%s", x) for x in ("lo", "hi"))
+    body = J(f"slice({{f}}, {lo} + 1, greatest(0, least({hi}, size({{f}})) - {lo}))")
+    return bound(body, f=F(args[0]), lo=f"cast({args[1]} as int)", hi=f"cast({args[2]} as int)")
 
 
 register("array_slice", _slice)
@@ -54,13 +55,15 @@ register("array_slice", _slice)
 _RANK = "CASE WHEN {x} = 'null' THEN 9 WHEN {x} IN ('true', 'false') THEN 0 WHEN {x} LIKE '\"%' THEN 2 WHEN {x} LIKE '[%' THEN 3 WHEN {x} LIKE '{{%' THEN 4 ELSE 1 END"
 
 
+def _ranked(x: str) -> str:
+    """The elements with what they are ordered by."""
+    return f"transform({F(x)}, x -> struct({_RANK.format(x='x')} as r, try_cast(x as double) as n, x as v))"
+
+
 def _sort(args: list[str]) -> str:
-    x = "x"
-    keyed = f"transform({F(args[0])}, x -> struct({_RANK.format(x=x)} as r, try_cast(x as double) as n, x as v))"
-    up = J(f"transform(array_sort({keyed}), s -> s.v)")
-    if len(args) > 1 and args[1].strip().lower() == "false":
-        return J(f"transform(reverse(array_sort({keyed})), s -> s.v)")
-    return up
+    up = f"array_sort({_ranked(args[0])})"
+    falls = len(args) > 1 and args[1].strip().lower() == "false"
+    return J(f"transform({f'reverse({up})' if falls else up}, s -> s.v)")
 
 
 register("array_sort", _sort)
@@ -69,11 +72,26 @@ register("arrays_to_object", lambda a: f"to_json(map_from_entries(filter(arrays_
 
 
 def _zip(args: list[str]) -> str:
-    most = f"greatest({', '.join(f'size({F(a)})' for a in args)}, 0)"
-    row = ", ',', ".join(f"'\"${k + 1}\":', coalesce(get({F(a)}, cast(i as int)), 'null')" for k, a in enumerate(args))
-    return J(f"transform(if({most} = 0, array(), sequence(0, {most} - 1)), i -> concat('{{', {row}, '}}'))")
+    names = [f"a{k}" for k in range(len(args))]
+    most = f"greatest({', '.join(f'size({{{n}}})' for n in names)}, 0)"
+    row = ", ',', ".join(f"'\"${k + 1}\":', coalesce(get({{{n}}}, i), 'null')" for k, n in enumerate(names))
+    body = J(f"transform(if({most} = 0, array(), sequence(0, {most} - 1)), i -> concat('{{', {row}, '}}'))")
+    return bound(body, **{n: F(a) for n, a in zip(names, args)})
 
 
 register("arrays_zip", _zip)
-templates("array_max", _1="cast(array_max(cast(try_parse_json({0}) as array<double>)) as string)")
-templates("array_min", _1="cast(array_min(cast(try_parse_json({0}) as array<double>)) as string)")
+
+
+def _extreme(which: str):
+    """The least or largest element as text, whatever its kind; nulls don't count."""
+
+    def build(args: list[str]) -> str:
+        live = f"filter({_ranked(args[0])}, s -> s.v <> 'null')"
+        return bound("if({m}.r = 2, get_json_object(concat('[', {m}.v, ']'), '$[0]'), {m}.v)", m=f"array_{which}({live})")
+
+    return build
+
+
+register("array_max", _extreme("max"))
+register("array_min", _extreme("min"))
+register("array_position", lambda a: f"nullif(array_position({F(a[1])}, {fragment(a[0])}) - 1, -1)")

@@ -1,6 +1,6 @@
 """Conversion functions. VARIANT, ARRAY and OBJECT values are JSON text."""
 
-from tarn.functions.registry import constant, register, templates
+from tarn.functions.registry import bound, constant, register, templates
 
 #: Dialect type names and Spark's; parameters in brackets follow where they make sense.
 TYPES = {
@@ -77,16 +77,30 @@ def java_format(fmt: str) -> str:
     return out
 
 
+def _typed(x: str, kind: str, parsed: str) -> str:
+    """A date or timestamp is cast, so that filters on it reach the scan; else it is
+    parsed. The type is known when the query is planned, and one branch is left.
+    A constant is parsed then, too."""
+    text = f"cast({x} as string)"
+    if x.strip()[:1] == "'" or x.strip().isdigit():
+        return parsed.replace("{s}", text)
+    parsed = bound(parsed, s=text)
+    return f"if(typeof({x}) IN ('date', 'timestamp', 'timestamp_ntz'), {_CASTS[kind]}({x}), {parsed})"
+
+
+#: Casts that the analyser takes for any type, also where they end up unused.
+_CASTS = {"date": "to_date", "timestamp": "to_timestamp_ltz", "timestamp_ntz": "to_timestamp_ntz"}
+
+
 def _date(how: str):
     def build(args: list[str]) -> str:
         x = args[0]
         if len(args) > 1 and constant(args[1]).lower() != "auto":
             return f"{how}to_date({x}, '{java_format(constant(args[1]))}')"
-        s = f"cast({x} as string)"
-        found = f"coalesce(try_cast({s} as date), try_to_date({s}, 'dd-MMM-yyyy'), try_to_date({s}, 'M/d/yyyy'), cast(timestamp_seconds(try_cast({s} as bigint)) as date))"
-        if how:
-            return found
-        return f"if({x} IS NULL, NULL, coalesce({found}, raise_error(concat('Date ''', {s}, ''' is not recognized'))))"
+        found = "coalesce(try_cast({s} as date), try_to_date({s}, 'dd-MMM-yyyy'), try_to_date({s}, 'M/d/yyyy'), cast(timestamp_seconds(try_cast({s} as bigint)) as date))"
+        if not how:
+            found = f"if({{s}} IS NULL, NULL, coalesce({found}, raise_error(concat('Date ''', {{s}}, ''' is not recognized'))))"
+        return _typed(x, "date", found)
 
     return build
 
@@ -97,20 +111,20 @@ register("try_to_date", _date("try_"))
 
 def _timestamp(kind: str, safe: bool):
     def build(args: list[str]) -> str:
-        x, s = args[0], f"cast({args[0]} as string)"
+        x = args[0]
         if len(args) > 1 and args[1].strip().lstrip("-").isdigit():
             scale = 10 ** (6 - int(args[1])) if int(args[1]) <= 6 else None
             micros = f"cast({x} * {scale} as bigint)" if scale else f"cast({x} as bigint) div {10 ** (int(args[1]) - 6)}"
             return f"cast(timestamp_micros({micros}) as {kind})"
         if len(args) > 1 and args[1].strip().startswith("'") and constant(args[1]).lower() != "auto":
             return f"cast({'try_' if safe else ''}to_timestamp({x}, '{java_format(constant(args[1]))}') as {kind})"
-        digits = f"try_cast({s} as decimal(38, 9))"
         # Whole numbers are seconds, or by their size milli-, micro- or nanoseconds.
+        digits = "try_cast({s} as decimal(38, 9))"
         epoch = f"timestamp_micros(cast(CASE WHEN abs({digits}) < 31536000000 THEN {digits} * 1000000 WHEN abs({digits}) < 31536000000000 THEN {digits} * 1000 WHEN abs({digits}) < 31536000000000000 THEN {digits} ELSE {digits} / 1000 END as bigint))"
-        found = f"coalesce(try_cast({s} as {kind}), cast(try_to_timestamp({s}, 'M/d/yyyy H:mm:ss') as {kind}), cast(try_to_timestamp({s}, 'dd-MMM-yyyy HH:mm:ss') as {kind}), cast({epoch} as {kind}))"
-        if safe:
-            return found
-        return f"if({x} IS NULL, NULL, coalesce({found}, raise_error(concat('Timestamp ''', {s}, ''' is not recognized'))))"
+        found = f"coalesce(try_cast({{s}} as {kind}), cast(try_to_timestamp({{s}}, 'M/d/yyyy H:mm:ss') as {kind}), cast(try_to_timestamp({{s}}, 'dd-MMM-yyyy HH:mm:ss') as {kind}), cast({epoch} as {kind}))"
+        if not safe:
+            found = f"if({{s}} IS NULL, NULL, coalesce({found}, raise_error(concat('Timestamp ''', {{s}}, ''' is not recognized'))))"
+        return _typed(x, kind, found)
 
     return build
 

@@ -2,7 +2,8 @@
 
 ``datediff`` counts boundaries crossed, as ``date_trunc`` sees them, and weeks
 begin on Monday unless the session's week_start says Sunday. ``dayofyear``
-counts from 0 in this dialect's engine of record.
+counts from 1, as the dialect's documentation has it and as ``date_part`` does
+(its engine of record counts from 0 in the one and not in the other).
 """
 
 from tarn.functions.registry import ArgumentError, constant, register, renamed, same, templates
@@ -100,6 +101,8 @@ def _last_day(args: list[str]) -> str:
         return f"last_day({x})"
     if part == "week":
         return f"date_add(cast(date_trunc('week', {x}) as date), 6)"
+    if part not in ("quarter", "year"):
+        raise ArgumentError(f"last_day doesn't take the part {part}")
     return f"date_sub(add_months(cast(date_trunc('{part}', {x}) as date), {12 if part == 'year' else 3}), 1)"
 
 
@@ -113,13 +116,12 @@ renamed(now="current_timestamp", today="current_date", getdate="current_timestam
 templates("current_time", _0="current_time()", _1="current_time({0})")
 templates("add_months", _2="add_months({0}, cast(round({1}) as int))")
 templates("convert_timezone", _2="convert_timezone({0}, cast({1} as timestamp_ntz))", _3="convert_timezone({0}, {1}, cast({2} as timestamp_ntz))")
-templates("date_bin", _2="window(cast({1} as timestamp), {0}).start", _3="window(cast({1} as timestamp), {0}, {0}, {2}).start")
 templates("date_from_parts datefromparts", _3="date_add(add_months(make_date({0}, 1, 1), cast({1} as int) - 1), cast({2} as int) - 1)")
 templates("dayname", _1="date_format({0}, 'E')")
 templates("monthname", _1="date_format({0}, 'MMM')")
 templates("dayofweek", _1="(dayofweek({0}) - 1)")
 templates("dayofweekiso", _1="(weekday({0}) + 1)")
-templates("dayofyear", _1="(dayofyear({0}) - 1)")
+templates("dayofyear", _1="dayofyear({0})")
 templates("yearofweek yearofweekiso", _1="extract(YEAROFWEEK FROM {0})")
 templates("next_day", _2="next_day(cast({0} as date), substr({1}, 1, 2))")
 templates("previous_day", _2="next_day(date_sub(cast({0} as date), 8), substr({1}, 1, 2))")
@@ -145,9 +147,28 @@ def _date_format(args: list[str]) -> str:
 register("date_format", _date_format)
 
 
+def _bin(x: str, n: int, part: str, origin: str | None = None, *, ends: bool = False) -> str:
+    """Where the bin of n parts that holds a time begins, or ends; bins are counted
+    from the origin, or from 1970."""
+    months = n * {"month": 1, "quarter": 3, "year": 12}.get(part, 0)
+    shift = " + 1" if ends else ""
+    if months:
+        since = f"(12 * (year({x}) - 1970) + month({x}) - 1)"
+        return f"cast(add_months(date '1970-01-01', {months} * (cast(floor({since} / {months}) as int){shift})) as timestamp)"
+    width = n * _MICROS[part]
+    micros = f"unix_micros(cast({x} as timestamp))"
+    from_origin = micros if origin is None else f"({micros} - unix_micros(cast({origin} as timestamp)))"
+    return f"timestamp_micros({micros} - pmod({from_origin}, {width}L){f' + {width}L' if ends else ''})"
+
+
+def _date_bin(args: list[str]) -> str:
+    count, name = constant(args[0].strip().removeprefix("INTERVAL").strip()).split()
+    return _bin(args[1], int(count), part_of(name), args[2] if len(args) > 2 else None)
+
+
 def _time_slice(args: list[str]) -> str:
-    x, n, part = args[0], args[1], part_of(args[2])
-    return f"window(cast({x} as timestamp), '{int(n)} {part}').start"
+    return _bin(args[0], int(args[1]), part_of(args[2]), ends=len(args) > 3 and constant(args[3]).lower() == "end")
 
 
+register("date_bin", _date_bin)
 register("time_slice", _time_slice)

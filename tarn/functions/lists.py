@@ -9,7 +9,7 @@ def both(name: str, **by_count: str) -> None:
     templates(f"array_{name}", **by_count)
 
 
-renamed(list_append="array_append", list_cat="concat", list_contains="array_contains", list_distinct="array_distinct", list_except="array_except", list_intersect="array_intersect", list_join="array_join", list_max="array_max", list_position="array_position", list_prepend="array_prepend", list_repeat="array_repeat", list_reverse="reverse", list_to_string="array_join", list_union="array_union", array_concat="concat", list_concat="concat", array_has="array_contains", list_has="array_contains", array_has_any="arrays_overlap", list_has_any="arrays_overlap", array_intersect="array_intersect", array_join="array_join", array_position="array_position", array_repeat="array_repeat", array_union="array_union", row="struct")
+renamed(list_append="array_append", list_cat="concat", list_contains="array_contains", list_distinct="array_distinct", list_except="array_except", list_intersect="array_intersect", list_join="array_join", list_max="array_max", list_position="array_position", list_prepend="array_prepend", list_repeat="array_repeat", list_reverse="reverse", list_to_string="array_join", list_union="array_union", array_concat="concat", list_concat="concat", array_has="array_contains", list_has="array_contains", array_has_any="arrays_overlap", list_has_any="arrays_overlap", array_intersect="array_intersect", array_join="array_join", array_repeat="array_repeat", array_union="array_union", row="struct")
 same("cardinality element_at map map_keys map_values named_struct struct map_entries map_contains_key")
 templates("list_element", _2="try_element_at({0}, {1})")
 templates("list_remove", _2="if(array_contains({0}, {1}), concat(slice({0}, 1, cast(array_position({0}, {1}) - 1 as int)), slice({0}, cast(array_position({0}, {1}) + 1 as int), greatest(0, size({0})))), {0})")

@@ -56,6 +56,14 @@ def constant(arg: str) -> str:
     return a[1:-1].replace("''", "'") if a[:1] == "'" and a[-1:] == "'" else a
 
 
+def bound(body: str, **values: str) -> str:
+    """body with ``{name}`` for each value, which is written, and evaluated, once."""
+    fields = ", ".join(f"{v} as {k}" for k, v in values.items())
+    for k in values:
+        body = body.replace("{%s}" % k, f"b.{k}")
+    return f"transform(array(struct({fields})), b -> {body})[0]"
+
+
 def call(name: str, args: list[str]) -> str:
     return FUNCTIONS[name.lower()](args)
 

@@ -5,7 +5,7 @@
 of variants; keys come out sorted.
 """
 
-from tarn.functions.registry import constant, register, templates
+from tarn.functions.registry import bound, constant, register, templates
 
 _MAP = "cast(try_parse_json({0}) as map<string, variant>)"
 
@@ -43,7 +43,7 @@ def _get(args: list[str]) -> str:
         return element(x, f"'$[{key.strip()}]'", unquote=False)
     if key.strip().startswith("'"):
         return f"to_json(try_element_at({_MAP.replace('{0}', x)}, {key}))"
-    return f"if(ltrim({x}) LIKE '[%', to_json(get(cast(try_parse_json({x}) as array<variant>), try_cast({key} as int))), to_json(try_element_at({_MAP.replace('{0}', x)}, cast({key} as string))))"
+    return bound("if(ltrim({x}) LIKE '[%', to_json(get(cast(try_parse_json({x}) as array<variant>), try_cast({k} as int))), to_json(try_element_at(cast(try_parse_json({x}) as map<string, variant>), cast({k} as string))))", x=x, k=key)
 
 
 def _json_path(keys: list[str]) -> str:
@@ -103,14 +103,22 @@ def fragment(x: str) -> str:
     c = x.strip()
     if c.upper() in ("NULL", "TRUE", "FALSE") or c.lstrip("-").replace(".", "", 1).isdigit():
         return f"'{c.lower()}'"
-    return f"coalesce(to_json(try_parse_json(cast({x} as string))), {json_text(x)})"
+    return f"transform(array(cast({x} as string)), t -> coalesce(to_json(try_parse_json(t)), substr(to_json(array(t)), 2, length(to_json(array(t))) - 2)))[0]"
+
+
+def _pair(key: str, value: str) -> str:
+    """A member as a struct of key, JSON text of the value, and whether it is null."""
+    whole = fragment(value)
+    if whole == f"'{value.strip().lower()}'":
+        return f"struct(cast({key} as string) as k, {whole} as v, {'true' if value.strip().upper() == 'NULL' else 'false'} as n)"
+    return f"transform(array(cast({value} as string)), u -> struct(cast({key} as string) as k, {fragment('u')} as v, u IS NULL as n))[0]"
 
 
 def _construct(keep_null: bool):
     def build(args: list[str]) -> str:
         if len(args) % 2:
             raise ValueError("object_construct takes pairs of a key and a value")
-        pairs = ", ".join(f"struct(cast({k} as string) as k, {fragment(v)} as v, ({v}) IS NULL as n)" for k, v in zip(args[::2], args[1::2]))
+        pairs = ", ".join(_pair(k, v) for k, v in zip(args[::2], args[1::2]))
         live = f"filter(array({pairs}), p -> p.k IS NOT NULL{'' if keep_null else ' AND NOT p.n'})" if args else "array()"
         if not args:
             return "'{}'"
@@ -136,12 +144,10 @@ register("object_pick", _keyed(""))
 
 
 def _insert(args: list[str]) -> str:
-    m, key, value = _MAP.replace("{0}", args[0]), args[1], f"parse_json({fragment(args[2])})"
-    rest = f"map_filter({m}, (k, v) -> k <> {key})"
-    new = f"to_json(map_concat({rest}, map({key}, {value})))"
-    if len(args) > 3 and args[3].strip().lower() == "true":
-        return new
-    return f"if(map_contains_key({m}, {key}), raise_error('duplicate field key'), {new})"
+    new = "to_json(map_concat(map_filter({m}, (k, v) -> k <> {key}), map({key}, {value})))"
+    if len(args) < 4 or args[3].strip().lower() != "true":
+        new = f"if(map_contains_key({{m}}, {{key}}), raise_error('duplicate field key'), {new})"
+    return bound(new, m=_MAP.replace("{0}", args[0]), key=args[1], value=f"parse_json({fragment(args[2])})")
 
 
 register("object_insert", _insert)

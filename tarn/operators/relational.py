@@ -5,6 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Columns that a PIVOT may make of values it finds.
+MOST_PIVOTED = 10_000
+
+
+def pivot_values(found: DataFrame) -> list:
+    """The values of a one-column DataFrame; more than MOST_PIVOTED raise."""
+    values = [r[0] for r in found.limit(MOST_PIVOTED + 1).collect()]
+    if len(values) > MOST_PIVOTED:
+        raise ValueError(f"PIVOT finds more than {MOST_PIVOTED} values")
+    return values
+
 
 def qualify(df: DataFrame, condition: Column) -> DataFrame:
     """Rows for which a condition on window functions holds."""
@@ -27,7 +38,7 @@ def pivot(df: DataFrame, column: str, aggregates: list[Column], *, values: list
     reads are keys unless given. Without values they are taken from the data
     (one pass over that column), null aside, in rising order."""
     if values is None:
-        values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+        values = pivot_values(df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column))
     grouped = df.groupBy(*(keys if keys is not None else [c for c in df.columns if c != column]))
     out = grouped.pivot(column, values).agg(*aggregates)
     new = out.columns[len(keys) if keys is not None else len(df.columns) - 1 :]

@@ -30,7 +30,7 @@ add(
 add(
     "fn_dates",
     "SELECT o_orderkey, datediff('day', o_orderdate, '1998-12-31'::date) AS a, datediff(month, o_orderdate, '1998-12-31'::date) AS b, datediff(year, o_orderdate, '1998-12-31'::date) AS c, datediff('quarter', o_orderdate, '1998-12-31'::date) AS d, year(o_orderdate) AS e, quarter(o_orderdate) AS f, dayofweek(o_orderdate) AS g, dayofweekiso(o_orderdate) AS h, dayofyear(o_orderdate) AS i, weekiso(o_orderdate) AS j, yearofweekiso(o_orderdate) AS k, cast(last_day(o_orderdate) AS date) AS l, dayname(o_orderdate) AS m, monthname(o_orderdate) AS n, date_trunc('month', o_orderdate) AS o, dateadd(day, 10, o_orderdate) AS p, dateadd('month', -1, o_orderdate) AS q, next_day(o_orderdate, 'friday') AS r, previous_day(o_orderdate, 'mo') AS s, date_from_parts(year(o_orderdate), 14, 0) AS t, date_part('epoch_second', o_orderdate) AS u, to_char(o_orderdate, 'YYYY/MM/DD HH24:MI') AS v, hour(o_orderdate) AS w, cast(last_day(o_orderdate, 'year') AS date) AS x FROM orders",
-    "SELECT o_orderkey, CAST(date_diff('day', o_orderdate, DATE '1998-12-31') AS INT) AS a, CAST(date_diff('month', o_orderdate, DATE '1998-12-31') AS INT) AS b, CAST(date_diff('year', o_orderdate, DATE '1998-12-31') AS INT) AS c, CAST(date_diff('quarter', o_orderdate, DATE '1998-12-31') AS INT) AS d, CAST(year(o_orderdate) AS INT) AS e, CAST(quarter(o_orderdate) AS INT) AS f, CAST(dayofweek(o_orderdate) AS INT) AS g, CAST(isodow(o_orderdate) AS INT) AS h, CAST(dayofyear(o_orderdate) - 1 AS INT) AS i, CAST(weekofyear(o_orderdate) AS INT) AS j, CAST(isoyear(o_orderdate) AS INT) AS k, CAST(last_day(o_orderdate) AS DATE) AS l, strftime(o_orderdate, '%a') AS m, strftime(o_orderdate, '%b') AS n, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS o, o_orderdate + INTERVAL 10 DAY AS p, o_orderdate - INTERVAL 1 MONTH AS q, CAST(o_orderdate AS DATE) + CAST((4 - (isodow(o_orderdate) - 1) + 6) % 7 + 1 AS INT) AS r, CAST(o_orderdate AS DATE) - CAST((isodow(o_orderdate) - 1 + 6) % 7 + 1 AS INT) AS s, CAST(make_date(CAST(year(o_orderdate) + 1 AS INT), 2, 1) - 1 AS DATE) AS t, CAST(epoch(o_orderdate) AS BIGINT) AS u, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS v, CAST(hour(o_orderdate) AS INT) AS w, make_date(CAST(year(o_orderdate) AS INT), 12, 31) AS x FROM orders",
+    "SELECT o_orderkey, CAST(date_diff('day', o_orderdate, DATE '1998-12-31') AS INT) AS a, CAST(date_diff('month', o_orderdate, DATE '1998-12-31') AS INT) AS b, CAST(date_diff('year', o_orderdate, DATE '1998-12-31') AS INT) AS c, CAST(date_diff('quarter', o_orderdate, DATE '1998-12-31') AS INT) AS d, CAST(year(o_orderdate) AS INT) AS e, CAST(quarter(o_orderdate) AS INT) AS f, CAST(dayofweek(o_orderdate) AS INT) AS g, CAST(isodow(o_orderdate) AS INT) AS h, CAST(dayofyear(o_orderdate) AS INT) AS i, CAST(weekofyear(o_orderdate) AS INT) AS j, CAST(isoyear(o_orderdate) AS INT) AS k, CAST(last_day(o_orderdate) AS DATE) AS l, strftime(o_orderdate, '%a') AS m, strftime(o_orderdate, '%b') AS n, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS o, o_orderdate + INTERVAL 10 DAY AS p, o_orderdate - INTERVAL 1 MONTH AS q, CAST(o_orderdate AS DATE) + CAST((4 - (isodow(o_orderdate) - 1) + 6) % 7 + 1 AS INT) AS r, CAST(o_orderdate AS DATE) - CAST((isodow(o_orderdate) - 1 + 6) % 7 + 1 AS INT) AS s, CAST(make_date(CAST(year(o_orderdate) + 1 AS INT), 2, 1) - 1 AS DATE) AS t, CAST(epoch(o_orderdate) AS BIGINT) AS u, strftime(o_orderdate, '%Y/%m/%d %H:%M') AS v, CAST(hour(o_orderdate) AS INT) AS w, make_date(CAST(year(o_orderdate) AS INT), 12, 31) AS x FROM orders",
 )
 add(
     "fn_conversion",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.dialect.lexer import lex
-from tarn.plans import functions, statements  # noqa: F401  (they add queries)
+from tarn.plans import function_values, functions, statements  # noqa: F401  (they add queries)
 from tarn.plans.relational import QUERIES
 from tarn.session import Session
 

@@ -26,7 +26,7 @@ ascii('a')|bit_length('a')|btrim('xax', 'x')|char_length('a')|character_length('
 decrypt_raw(unhex('00'), unhex('000102030405060708090A0B0C0D0E0F'), unhex('0102030405060708090A0B0C'), NULL, 'AES-GCM', unhex('00'))~|encrypt_raw(unhex('00'), unhex('000102030405060708090A0B0C0D0E0F'), unhex('0102030405060708090A0B0C'))
 regexp_count('aa', 'a')|regexp_extract_all('a1', '[0-9]')|regexp_instr('a1', '[0-9]')|regexp_like('a', 'a')|regexp_match('a1', '[0-9]')|regexp_replace('a1', '[0-9]', 'x')|regexp_substr('a1', '[0-9]')|regexp_substr_all('a1', '([0-9])', 1, 1, 'e')|rlike('a', 'a')
 as_array('[1]')|as_object({J})|get({J}, 'a')|get_ignore_case({J}, 'A')|get_path({J}, 'a.b')|is_array('[1]')|is_boolean('true')|is_decimal('1.5')|is_double('1.5')|is_integer('1')|is_null_value('null')|is_object({J})|is_real('1.5')|is_varchar('"a"')|is_char('"a"')|json_as_text({J}, 'a')|json_contains({J}, 'a')|json_extract_path_text({J}, 'c')|json_get({J}, 'a')|json_get_bool('{{"a":true}}', 'a')|json_get_float('{{"a":1.5}}', 'a')|json_get_int('{{"a":1}}', 'a')|json_get_json({J}, 'a')|json_get_str({J}, 'c')|json_keys({J})|json_len({J})|json_length({J}, 'a', 'b')|json_object_keys({J}, 'a')|make_object('a', 1)|object_construct('a', 1)|object_construct_keep_null('a', NULL)|object_delete({J}, 'a')|object_insert({J}, 'z', 1)|object_keys({J})|object_pick({J}, 'a')|parse_json({J})|try_parse_json({J})|check_json('{{')|variant_element({J}, '$.a')
-array_any_value({M})|array_append({A}, 4)|array_cat({A}, {B})|array_compact('[1,null]')|array_concat({L}, {L})|array_construct(1)|array_construct_compact(1, NULL)|array_contains(1, {A})|array_dims({L})|array_distance(array(1.0, 2.0), array(1.0, 3.0))|array_distinct({A})|array_element({A}, '$[0]')|array_empty({L})|array_except({A}, {B})|array_extract({L}, 1)|array_flatten([[1]])|array_generate_range(0, 3)|array_has({L}, 1)|array_has_all({L}, {L})|array_has_any({L}, {L})|array_indexof({L}, 2)|array_insert({A}, 0, 1)|array_intersect({L}, {L})|array_intersection({A}, {B})|array_join(array('a'), ',')|array_length({L})|array_max({A})|array_min({A})|array_ndims({L})|array_pop_back({L})|array_pop_front({L})|array_position({L}, 2)|array_positions({L}, 2)|array_prepend({A}, 0)|array_push_back({L}, 1)|array_push_front({L}, 1)|array_remove({A}, 1)|array_remove_all({L}, 1)|array_remove_at({A}, 0)|array_remove_n({L}, 1, 1)|array_repeat(1, 2)|array_replace({L}, 1, 2)|array_replace_all({L}, 1, 2)|array_replace_n({L}, 1, 2, 1)|array_resize({L}, 2)|array_reverse({A})|array_size({A})|array_slice({A}, 0, 1)|array_sort({A}, false)|array_to_string({A}, ',')|array_union({L}, {L})|arrays_overlap({A}, {B})|arrays_to_object(['a'], [1])|arrays_zip({A}, {B})|cardinality({L})|element_at({L}, 1)|empty({L})|generate_range(0, 3)|generate_series(1, 3)|get_field(named_struct('f', 1), 'f')|make_array(1)|make_list(1)|map('a', 1)|map_entries(map('a', 1))|map_extract(map('a', 1), 'a')|map_keys(map('a', 1))|map_values(map('a', 1))|map_contains_key(map('a', 1), 'a')|named_struct('a', 1)|range(0, 3)|row(1, 2)|string_to_array('a,b', ',')|string_to_list('a,b', ',', 'b')|strtok_to_array('a b')|struct(1, 2)|union_extract('{{"a":1}}', 'a')
+array_any_value({M})|array_append({A}, 4)|array_cat({A}, {B})|array_compact('[1,null]')|array_concat({L}, {L})|array_construct(1)|array_construct_compact(1, NULL)|array_contains(1, {A})|array_dims({L})|array_distance(array(1.0, 2.0), array(1.0, 3.0))|array_distinct({A})|array_element({A}, '$[0]')|array_empty({L})|array_except({A}, {B})|array_extract({L}, 1)|array_flatten([[1]])|array_generate_range(0, 3)|array_has({L}, 1)|array_has_all({L}, {L})|array_has_any({L}, {L})|array_indexof({L}, 2)|array_insert({A}, 0, 1)|array_intersect({L}, {L})|array_intersection({A}, {B})|array_join(array('a'), ',')|array_length({L})|array_max({A})|array_min({A})|array_ndims({L})|array_pop_back({L})|array_pop_front({L})|array_position(2, {A})|array_positions({L}, 2)|array_prepend({A}, 0)|array_push_back({L}, 1)|array_push_front({L}, 1)|array_remove({A}, 1)|array_remove_all({L}, 1)|array_remove_at({A}, 0)|array_remove_n({L}, 1, 1)|array_repeat(1, 2)|array_replace({L}, 1, 2)|array_replace_all({L}, 1, 2)|array_replace_n({L}, 1, 2, 1)|array_resize({L}, 2)|array_reverse({A})|array_size({A})|array_slice({A}, 0, 1)|array_sort({A}, false)|array_to_string({A}, ',')|array_union({L}, {L})|arrays_overlap({A}, {B})|arrays_to_object(['a'], [1])|arrays_zip({A}, {B})|cardinality({L})|element_at({L}, 1)|empty({L})|generate_range(0, 3)|generate_series(1, 3)|get_field(named_struct('f', 1), 'f')|make_array(1)|make_list(1)|map('a', 1)|map_entries(map('a', 1))|map_extract(map('a', 1), 'a')|map_keys(map('a', 1))|map_values(map('a', 1))|map_contains_key(map('a', 1), 'a')|named_struct('a', 1)|range(0, 3)|row(1, 2)|string_to_array('a,b', ',')|string_to_list('a,b', ',', 'b')|strtok_to_array('a b')|struct(1, 2)|union_extract('{{"a":1}}', 'a')
 list_any_value({M})|list_append({L}, 1)|list_cat({L}, {L})|list_concat({L}, {L})|list_contains({L}, 1)|list_dims({L})|list_distance(array(1.0), array(2.0))|list_distinct({L})|list_element({L}, 1)|list_empty({L})|list_except({L}, {L})|list_extract({L}, 1)|list_has({L}, 1)|list_has_all({L}, {L})|list_has_any({L}, {L})|list_indexof({L}, 1)|list_intersect({L}, {L})|list_join(array('a'), ',')|list_length({L})|list_max({L})|list_ndims({L})|list_pop_back({L})|list_pop_front({L})|list_position({L}, 1)|list_positions({L}, 1)|list_prepend({L}, 0)|list_push_back({L}, 1)|list_push_front({L}, 1)|list_remove({L}, 1)|list_remove_all({L}, 1)|list_remove_n({L}, 1, 1)|list_repeat(1, 2)|list_replace({L}, 1, 2)|list_replace_all({L}, 1, 2)|list_replace_n({L}, 1, 2, 1)|list_resize({L}, 2, 0)|list_reverse({L})|list_slice({L}, 1, 2)|list_sort({L}, false)|list_to_string(array('a'), ',')|list_union({L}, {L})
 current_client()|current_database()|current_ip_address()|current_role()|current_role_type()|current_schema()|current_schemas()|current_session()|current_version()|current_warehouse()|current_user()|last_query_id()|sleep(0)|version()
 """

@@ -165,3 +165,63 @@ def test_stream_of_files(spark, tmp_path):
     events.to_table(out, "stream_test", f"{tmp_path}/cp", mode="complete")
     want = {tuple(r) for r in events.windowed(rows_).collect()}
     assert {tuple(r) for r in spark.table("stream_test").collect()} == want
+
+
+def test_merge_with_several_matches(s):
+    s.execute("CREATE TABLE t (k INT, v VARCHAR); INSERT INTO t VALUES (1, 'a'), (2, 'b')")
+    with pytest.raises(DialectError, match="Duplicate row"):
+        s.execute("MERGE INTO t USING (SELECT column1 AS k, column2 AS v FROM VALUES (1, 'x'), (1, 'y')) s ON t.k = s.k WHEN MATCHED THEN UPDATE SET v = s.v")
+    # One of the matches comes to a clause: the row changes once and isn't doubled.
+    s.execute("MERGE INTO t USING (SELECT column1 AS k, column2 AS v FROM VALUES (1, 'x'), (1, 'y'), (2, 'p'), (2, 'q')) s ON t.k = s.k WHEN MATCHED AND s.v = 'x' THEN UPDATE SET v = s.v")
+    assert sorted(map(tuple, s.execute("SELECT k, v FROM t").collect())) == [(1, "x"), (2, "b")]
+
+
+def test_alter_table(s):
+    s.execute("CREATE TABLE t AS SELECT 1 AS a, 'x' AS b; CREATE TABLE u AS SELECT 2 AS c")
+    s.execute("ALTER TABLE t ADD COLUMN n NUMBER(10, 2)")
+    s.execute("ALTER TABLE t RENAME COLUMN b TO bb")
+    assert [f.name for f in s.execute("SELECT * FROM t").schema] == ["a", "bb", "n"] and s.execute("SELECT * FROM t").first() == (1, "x", None)
+    s.execute("ALTER TABLE t DROP COLUMN a")
+    s.execute("ALTER TABLE t RENAME TO w")
+    assert s.execute("SELECT * FROM w").columns == ["bb", "n"]
+    s.execute("ALTER TABLE w SWAP WITH u")
+    assert s.execute("SELECT * FROM w").columns == ["c"] and s.execute("SELECT * FROM u").columns == ["bb", "n"]
+    for bad in ("ALTER TABLE nowhere RENAME TO x", "ALTER TABLE u DROP COLUMN nowhere", "ALTER TABLE u ADD COLUMN bb INT", "ALTER TABLE u RENAME TO w", "ALTER TABLE u FLY AWAY"):
+        with pytest.raises(DialectError):
+            s.execute(bad)
+    assert s.execute("ALTER TABLE IF EXISTS nowhere RENAME TO x").count() == 1
+
+
+def test_explain_gives_plans(s):
+    kinds = lambda sql: [r.plan_type for r in s.execute(sql).collect()]
+    query = "SELECT count(*) AS n FROM (SELECT column1 AS a FROM VALUES (1), (2), (3)) WHERE a > 1"
+    assert kinds(f"EXPLAIN {query}") == ["logical_plan", "physical_plan"]
+    assert kinds(f"EXPLAIN VERBOSE {query}") == ["initial_logical_plan", "logical_plan", "physical_plan"]
+    (plan,) = [r.plan for r in s.execute(f"EXPLAIN ANALYZE {query}").collect()]
+    assert "output_rows=1" in plan
+
+
+def test_filters_on_typed_dates_reach_the_scan(spark, tmp_path):
+    spark.sql("SELECT date '2024-01-01' AS d, timestamp_ntz '2024-01-01 01:02:03' AS t").write.parquet(f"{tmp_path}/f.parquet")
+    s = Session(spark)
+    s.attach(str(tmp_path), ("f",))
+    for condition in ("to_date(d) < '2025-01-01'::date", "to_timestamp(t) > '2023-01-01'::timestamp", "try_to_date(t) = '2024-01-01'::date"):
+        df = s.execute(f"SELECT d FROM f WHERE {condition}")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [IsNotNull" in plan and any(x in plan for x in ("LessThan(", "GreaterThan(", "GreaterThanOrEqual(")), plan
+        assert df.count() == 1
+
+
+def test_texts_of_nested_array_calls_grow_in_proportion(s):
+    sizes, text = [], "a"
+    for _ in range(6):
+        text = f"array_slice(array_sort(array_flatten(array_construct({text}))), 0, 3)"
+        sizes.append(len(s.to_spark(f"SELECT {text} FROM VALUES ('[1]') t(a)")))
+    steps = [b - a for a, b in zip(sizes, sizes[1:])]
+    assert max(steps) <= 1.1 * min(steps)
+
+
+def test_pivots_of_too_many_values_raise(s, monkeypatch):
+    monkeypatch.setattr(relational, "MOST_PIVOTED", 2)
+    with pytest.raises(ValueError):
+        s.execute("SELECT * FROM (SELECT column1 AS k, column2 AS v FROM VALUES (1, 1), (2, 1), (3, 1)) PIVOT (sum(v) FOR k IN (ANY))")
