@@ -95,9 +95,55 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP3_SQL = r"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, text, row_number() OVER () AS r FROM documents
+  UNION ALL SELECT 'i', item_id, text, row_number() OVER () FROM benchmark
+), words AS (
+  SELECT side, id, r, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM texts
+), lengths AS (
+  SELECT DISTINCT least(len(w), 5) AS n FROM words WHERE side = 'i' AND len(w) > 0
+), runs AS (
+  SELECT DISTINCT side, id, r, n, array_to_string(w[k : k + n - 1], ' ') AS run
+  FROM (SELECT side, id, r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM words, lengths WHERE len(w) >= n AND (side = 'd' OR least(len(w), 5) = n))
+), items AS (
+  SELECT r, id, n, count(*) AS item_shingles FROM runs WHERE side = 'i' GROUP BY ALL
+), found AS (
+  SELECT d.r AS dr, d.id AS doc_id, i.r AS ir, count(*) AS shared FROM runs i JOIN runs d ON d.side = 'd' AND i.side = 'i' AND d.n = i.n AND d.run = i.run GROUP BY ALL
+)
+SELECT doc_id, id AS item_id, item_shingles, shared, shared / item_shingles AS containment
+FROM found JOIN items ON items.r = found.ir WHERE 100 * shared >= 80 * item_shingles
+"""
+OP8_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda k: hash(w[k] || ' ' || w[k + 1]))) WHEN len(w) = 1 THEN [hash(w[1])] ELSE [] END AS s FROM words
+), sized AS (
+  SELECT doc_id, len(s) AS n FROM sets
+), classes AS (
+  SELECT list_sort(s) AS s, min(doc_id) AS rep, len(any_value(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY 1
+), grams AS (
+  SELECT rep, n, unnest(s) AS g FROM classes
+), links AS (
+  SELECT a.rep AS a, b.rep AS b FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), two_way AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT rep AS node, rep AS top FROM classes
+  UNION SELECT two_way.b, reach.top FROM reach JOIN two_way ON two_way.a = reach.node
+), found AS (
+  SELECT node, min(top) AS component FROM reach GROUP BY node
+)
+SELECT doc_id, n AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM sized LEFT JOIN (SELECT sets.doc_id, classes.rep FROM sets JOIN classes ON list_sort(sets.s) = classes.s) USING (doc_id) LEFT JOIN found ON found.node = rep
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_power_of_two_packing, op2_bottom_k_fingerprints, op3_minhash_containment_decontamination, op4_log_frequency_bloom_lm, op5_run_merge_line_dedup, op6_feistel_training_order, op7_compression_language_id, op8_hyperminhash_near_dedup, op9_rank_synchronous_token_counts, op10_sentence_span_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_run_merge_line_dedup": OP5_SQL}
+    return {"op3_minhash_containment_decontamination": OP3_SQL, "op5_run_merge_line_dedup": OP5_SQL, "op8_hyperminhash_near_dedup": OP8_SQL}
