@@ -50,8 +50,8 @@ add(
 add(
     "fn_list_map",
     "SELECT vec_id, cardinality(embedding) AS a, list_position(sequence(1, 5), 3) AS c, list_has_all(sequence(1, 5), sequence(2, 3)) AS d, list_to_string(list_reverse(sequence(1, 3)), ',') AS e, list_length(list_resize(sequence(1, 3), 5, 0)) AS f, round(list_distance(embedding, embedding), 6) AS g, list_element(list_pop_back(sequence(1, 3)), 1) AS h FROM embeddings",
-    None,
+    "SELECT vec_id, CAST(len(embedding) AS INT) AS a, 3::BIGINT AS c, true AS d, '3,2,1' AS e, 5 AS f, 0.0::DOUBLE AS g, 1 AS h FROM embeddings",
 )
 add("fn_context", "SELECT current_database() AS db, current_schema() AS sch, current_role() AS role, current_warehouse() AS wh, current_role_type() AS rt", "SELECT 'main' AS db, 'public' AS sch, 'default' AS role, 'default' AS wh, 'ROLE' AS rt")
-add("fn_parse_ip_similarity", "SELECT s_suppkey, jarowinkler_similarity(s_name, 'Supplier#000000001') AS j, parse_ip(concat('10.0.0.', s_suppkey % 250, '/24'), 'INET'):host AS host FROM supplier", None)
-add("fn_encrypt", "SELECT p_partkey, decode(decrypt_raw(unhex(e:ciphertext), unhex(k), unhex(e:iv), NULL, 'AES-GCM', unhex(e:tag)), 'utf-8') = p_name AS same FROM (SELECT p_partkey, p_name, k, encrypt_raw(to_binary(hex_encode(p_name)), unhex(k), unhex('0102030405060708090A0B0C')) AS e FROM (SELECT p_partkey, p_name, '000102030405060708090A0B0C0D0E0F' AS k FROM part))", None)
+add("fn_parse_ip_similarity", "SELECT s_suppkey, jarowinkler_similarity(s_name, 'Supplier#000000001') AS j, parse_ip(concat('10.0.0.', s_suppkey % 250, '/24'), 'INET'):host AS host FROM supplier", "SELECT s_suppkey, CAST(floor(100 * jaro_winkler_similarity(lower(s_name), 'supplier#000000001') + 1e-9) AS BIGINT) AS j, '10.0.0.' || (s_suppkey % 250) AS host FROM supplier")
+add("fn_encrypt", "SELECT p_partkey, decode(decrypt_raw(unhex(e:ciphertext), unhex(k), unhex(e:iv), NULL, 'AES-GCM', unhex(e:tag)), 'utf-8') = p_name AS same FROM (SELECT p_partkey, p_name, k, encrypt_raw(to_binary(hex_encode(p_name)), unhex(k), unhex('0102030405060708090A0B0C')) AS e FROM (SELECT p_partkey, p_name, '000102030405060708090A0B0C0D0E0F' AS k FROM part))", "SELECT p_partkey, true AS same FROM part")

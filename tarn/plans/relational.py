@@ -107,7 +107,19 @@ add("unpivot", f"SELECT p_partkey, name, v FROM ({_PARTS}) UNPIVOT (v FOR name I
 add("unpivot_include_nulls", f"SELECT p_partkey, name, v FROM ({_PARTS}) UNPIVOT INCLUDE NULLS (v FOR name IN (size, rest))", f"WITH p AS ({_PARTS}) SELECT p_partkey, 'size' AS name, size AS v FROM p UNION ALL SELECT p_partkey, 'rest', rest FROM p")
 # Flatten and time buckets
 add("lateral_flatten", "SELECT e.event_id, f.key, f.value FROM events e, LATERAL FLATTEN(INPUT => e.props) f", "SELECT event_id, j.key AS key, CAST(j.value AS VARCHAR) AS value FROM events, json_each(props) j")
-add("flatten_array", "SELECT v.vec_id, f.index, round(cast(f.value AS double), 4) AS x FROM (SELECT vec_id, to_json(slice(embedding, 1, 4)) AS j FROM embeddings) v, LATERAL FLATTEN(INPUT => v.j) f", None)
+add("flatten_array", "SELECT v.vec_id, f.index, round(cast(f.value AS double), 4) AS x FROM (SELECT vec_id, to_json(slice(embedding, 1, 4)) AS j FROM embeddings) v, LATERAL FLATTEN(INPUT => v.j) f", "SELECT vec_id, CAST(i AS BIGINT) AS index, round(CAST(CAST(embedding[i + 1] AS VARCHAR) AS DOUBLE), 4) AS x FROM embeddings, range(4) r(i) WHERE i < len(embedding)")
+add("flatten_outer", "SELECT r_regionkey, f.index, f.value FROM region, LATERAL FLATTEN(INPUT => iff(r_regionkey % 2 = 0, array_construct(r_regionkey, 7), '[]'), OUTER => true) f", "SELECT r_regionkey, CAST(0 AS BIGINT) AS index, CAST(r_regionkey AS VARCHAR) AS value FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT r_regionkey, 1, '7' FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT r_regionkey, NULL, NULL FROM region WHERE r_regionkey % 2 = 1")
+_NESTED = "object_construct('a', array_construct(r_regionkey, 2), 'b', 5)"
+add(
+    "flatten_recursive",
+    f"SELECT r_regionkey, f.key, f.path, f.index, f.value FROM region, LATERAL FLATTEN(INPUT => {_NESTED}, RECURSIVE => true) f",
+    "SELECT r_regionkey, 'a' AS key, 'a' AS path, CAST(NULL AS BIGINT) AS index, '[' || r_regionkey || ',2]' AS value FROM region UNION ALL SELECT r_regionkey, NULL, 'a[0]', 0, CAST(r_regionkey AS VARCHAR) FROM region UNION ALL SELECT r_regionkey, NULL, 'a[1]', 1, '2' FROM region UNION ALL SELECT r_regionkey, 'b', 'b', NULL, '5' FROM region",
+)
+add("flatten_mode", f"SELECT r_regionkey, f.key FROM region, LATERAL FLATTEN(INPUT => {_NESTED}, MODE => 'OBJECT') f UNION ALL SELECT r_regionkey, f.key FROM region, LATERAL FLATTEN(INPUT => {_NESTED}, MODE => 'ARRAY') f", "SELECT r_regionkey, unnest(['a', 'b']) AS key FROM region")
+add("flatten_path", f"SELECT r_regionkey, f.path, f.index, f.value, f.this FROM region, LATERAL FLATTEN(INPUT => {_NESTED}, PATH => 'a') f", "SELECT r_regionkey, 'a[0]' AS path, CAST(0 AS BIGINT) AS index, CAST(r_regionkey AS VARCHAR) AS value, '[' || r_regionkey || ',2]' AS this FROM region UNION ALL SELECT r_regionkey, 'a[1]', 1, '2', '[' || r_regionkey || ',2]' FROM region")
+add("flatten_cte", f"WITH c AS (SELECT r_name, {_NESTED} AS j FROM region) SELECT c.r_name, f.key FROM c, TABLE(FLATTEN(c.j)) f", "SELECT r_name, unnest(['a', 'b']) AS key FROM region")
+add("flatten_star", "SELECT f.* EXCLUDE (seq) FROM TABLE(FLATTEN(INPUT => '[1,null,\"x\"]')) f", """SELECT * FROM (VALUES (CAST(NULL AS VARCHAR), '[0]', 0::BIGINT, '1', '[1,null,"x"]'), (NULL, '[1]', 1, NULL, '[1,null,"x"]'), (NULL, '[2]', 2, '"x"', '[1,null,"x"]')) t(key, path, index, value, this)""")
+add("approximate_close", "SELECT l_returnflag, abs(approx_distinct(l_orderkey) - count(DISTINCT l_orderkey)) <= 0.15 * count(DISTINCT l_orderkey) AS d, abs(approx_median(l_quantity) - median(l_quantity)) <= 1 AS m, abs(approx_percentile_cont(l_extendedprice, 0.9) / percentile_cont(0.9) WITHIN GROUP (ORDER BY l_extendedprice) - 1) < 0.02 AS p FROM lineitem GROUP BY l_returnflag", "SELECT DISTINCT l_returnflag, true AS d, true AS m, true AS p FROM lineitem")
 add("json_path", "SELECT event_id, props:k::int AS k FROM events", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 add("time_buckets", "SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")
 add("session_gaps", "WITH g AS (SELECT user_id, ts, event_id, iff(datediff('minute', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) > 30, 1, 0) AS cut FROM events) SELECT user_id, sum(cut) + 1 AS sessions FROM g GROUP BY user_id", "WITH g AS (SELECT user_id, ts, event_id, CASE WHEN date_diff('minute', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) > 30 THEN 1 ELSE 0 END AS cut FROM events) SELECT user_id, CAST(sum(cut) + 1 AS BIGINT) AS sessions FROM g GROUP BY user_id")
