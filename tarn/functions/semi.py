@@ -98,12 +98,17 @@ def json_text(x: str) -> str:
     return f"transform(array(to_json(array(cast({x} as string)))), j -> substr(j, 2, length(j) - 2))[0]"
 
 
+_MAY_BE_JSON = r'^\\s*([\\[{"0-9-]|(true|false|null)\\s*$)'
+
+
 def fragment(x: str) -> str:
     """JSON text of a value: a constant by its kind, else JSON text as it is and other text quoted."""
     c = x.strip()
     if c.upper() in ("NULL", "TRUE", "FALSE") or c.lstrip("-").replace(".", "", 1).isdigit():
         return f"'{c.lower()}'"
-    return f"transform(array(cast({x} as string)), t -> coalesce(to_json(try_parse_json(t)), substr(to_json(array(t)), 2, length(to_json(array(t))) - 2)))[0]"
+    quoted = "substr(to_json(array(t)), 2, length(to_json(array(t))) - 2)"
+    # A text that can't be JSON isn't parsed: a failure costs far more than a look.
+    return f"transform(array(cast({x} as string)), t -> if(t RLIKE '{_MAY_BE_JSON}', coalesce(to_json(try_parse_json(t)), {quoted}), {quoted}))[0]"
 
 
 def _pair(key: str, value: str) -> str:

@@ -311,3 +311,23 @@ add(
 )
 add("values_context", "SELECT current_client() AS a, current_ip_address() AS b, length(current_session()) > 0 AS c, current_schemas() AS d, current_version() = version() AS e, last_query_id() IS NULL AS f, sleep(0) AS g", """SELECT 'tarn' AS a, '' AS b, true AS c, '["main.public"]' AS d, true AS e, true AS f, 0.0::DOUBLE AS g""")
 add("values_ifnull", "SELECT o_orderkey, ifnull(nullif(o_orderstatus, 'F'), 'f') AS a, 'a.b' ILIKE 'A.%' AS b FROM orders", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'f' ELSE o_orderstatus END AS a, true AS b FROM orders")
+_values("values_casts", "orders", "o_orderkey", [
+    ("'2024-01-02 03:04:05'::timestamp", "TIMESTAMP '2024-01-02 03:04:05'"),
+    ("'2024-01-02 03:04:05.678'::timestamp_ntz", "TIMESTAMP '2024-01-02 03:04:05.678'"),
+    ("'2024-01-02 03:04:05'::timestamp_ltz", "TIMESTAMP '2024-01-02 03:04:05'"),
+    ("'2024-01-02 03:04:05+02:00'::timestamp_tz", "TIMESTAMP '2024-01-02 01:04:05'"),
+    (f"{_D}::timestamp_ltz", _D),
+    (f"{_D}::date", f"{_D}::DATE"),
+    ("'5:06'::time", "'05:06:00'"),
+    ("cast(concat(o_orderkey, '.456')::number(20, 2) AS double)", "o_orderkey + 0.46::DOUBLE"),
+    ("concat(o_orderkey, '.5')::int", "o_orderkey + 1"),
+    ("o_orderkey::varchar", "CAST(o_orderkey AS VARCHAR)"),
+    ("(o_orderkey % 2)::boolean", "o_orderkey % 2 = 1"),
+    ("o_orderkey::variant", "CAST(o_orderkey AS VARCHAR)"),
+    ("cast(concat('[', o_orderkey, ',2]')::array AS string) IS NOT NULL", "true"),
+    ("try_cast(concat('x', o_orderkey) AS int)", "CAST(NULL AS BIGINT)"),
+    ("o_totalprice::float", "o_totalprice"),
+    ("object_construct('a b', o_orderstatus):\"a b\"", "o_orderstatus"),
+    ("array_construct(o_orderkey, o_orderstatus)[1]", "o_orderstatus"),
+    ("object_construct('t', concat('true', o_orderkey), 'u', '[', 'v', ' 12 ', 'w', 'null')", "'{\"t\":\"true' || o_orderkey || '\",\"u\":\"[\",\"v\":12,\"w\":null}'"),
+])

@@ -225,3 +225,8 @@ def test_pivots_of_too_many_values_raise(s, monkeypatch):
     monkeypatch.setattr(relational, "MOST_PIVOTED", 2)
     with pytest.raises(ValueError):
         s.execute("SELECT * FROM (SELECT column1 AS k, column2 AS v FROM VALUES (1, 1), (2, 1), (3, 1)) PIVOT (sum(v) FOR k IN (ANY))")
+
+
+def test_unknown_functions_are_refused_by_name(s):
+    with pytest.raises(DialectError, match="no_such_thing' is not implemented"):
+        s.execute("SELECT no_such_thing(1)")
