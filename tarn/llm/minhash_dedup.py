@@ -53,6 +53,8 @@ LARGE = 8 * M
 BY_CHANCE = 0.18 * 2.0**-MANTISSA
 #: Shingles in a block of the last comparison.
 BLOCK = 40_000
+#: Tasks that the rows of one cluster are dealt to when facts about it are joined.
+SALTS = 32
 
 _U = np.uint64
 _SALT = mix(np.arange(1, M + 1, dtype=_U))
@@ -217,6 +219,14 @@ def _labelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
     return nodes.join(comps.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
 
 
+def _joined(rows: DataFrame, facts: DataFrame, on: list[str]) -> DataFrame:
+    """rows (id, ...) with the few facts about their cluster. A cluster may hold
+    most rows, so its rows are dealt by id and each share meets a copy of the facts."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    copies = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(copies, [*on, "salt"]).drop("salt")
+
+
 def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """For docs (id, text): (classes, edges). classes has (id, n_shingles, rep)
     for each document; edges (a, b) between representatives have exactly the
@@ -252,10 +262,11 @@ def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, path: str | N
     met = holders.select("band", "id").join(labels, "id").groupBy("band", "label").agg(F.lit(1).alias("one"))
     least = met.groupBy("band").agg(F.min("label").alias("b"), F.max("label").alias("top")).where("b < top").select("band", "b")
     clusters = components(saved(met.join(least, "band").select(F.col("label").alias("a"), "b").distinct(), f"{path}/met"))
-    rest = labels.join(clusters.select(F.col("node").alias("label"), F.col("component").alias("cluster")), "label")
-    counted = rest.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    clusters = clusters.select(F.col("node").alias("label"), F.col("component").alias("cluster"))
+    counted = labels.groupBy("label").agg(F.count("*").alias("n")).join(clusters, "label")
     largest = counted.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("x")).select("cluster", F.col("x.label").alias("main"))
-    rest = rest.join(largest, "cluster").withColumn("query", F.col("label") != F.col("main")).drop("main")
+    about = saved(clusters.join(largest, "cluster").select("label", "cluster", (F.col("label") != F.col("main")).alias("query")), f"{path}/about")
+    rest = _joined(labels, about, ["label"])
     rest = rest.join(feats.select("id", "shingles"), "id").withColumn("n", F.length("shingles") / 8)
     # Sets whose sizes differ by more than the threshold can't be linked: classes
     # of sizes within that factor meet themselves and their neighbours.
@@ -271,10 +282,10 @@ def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, path: str | N
         return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
 
     who = ["cluster", "size_class"]
-    ask = rest.where("query").join(asked, who).withColumn("qb", blocks(rest, "asked")).join(near(parts, "parts"), who)
+    ask = _joined(_joined(rest.where("query"), asked, who).withColumn("qb", blocks(rest, "asked")), near(parts, "parts"), who)
     ask = ask.withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     ask = ask.select("cluster", F.col("size_class").alias("qc"), "qb", F.col("at").alias("mc"), "mb", "id", "label", "query", "shingles")
-    held = rest.join(parts, who).withColumn("mb", blocks(rest, "parts")).join(near(asked, "asked"), who)
+    held = _joined(_joined(rest, parts, who).withColumn("mb", blocks(rest, "parts")), near(asked, "asked"), who)
     held = held.withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)))
     held = held.select("cluster", F.col("at").alias("qc"), "qb", F.col("size_class").alias("mc"), "mb", "id", "label", F.lit(False).alias("query"), "shingles")
     late = ask.unionAll(held).groupBy("cluster", "qc", "qb", "mc", "mb").applyInPandas(_block_links(percent), "a long, b long")
