@@ -43,10 +43,16 @@ from pyspark.sql import functions as F
 from tarn.llm.common import bounded_batches, saved, shared_dir, unused
 from tarn.llm.wordhash import mix, word_hashes
 
-#: Ratio of neighbouring quantisation levels, probes of a membership test and
-#: bits for each inserted entry (false positives: 2 ** -PROBES).
-STEP, PROBES = 1.5, 12
-BITS = PROBES / math.log(2)
+#: Ratio of neighbouring quantisation levels, and probes of a membership test: many
+#: at level 1, where a false hit makes an unseen bigram a seen one, and fewer above,
+#: where it adds a level to a seen one.
+STEP, PROBES, MORE = 1.5, 12, 6
+#: Bits of the filter for each probe, at which half of them are set.
+BITS = 1 / math.log(2)
+#: An entry's probes lie in one block of 512 bits, a line of the processor's cache,
+#: two in each word that is looked at. Keys that are out already are left behind
+#: after each of these rounds of words. False hits are some three times 2 ** -PROBES.
+_ROUNDS = {PROBES: ((0,), (1,), (2, 3, 4, 5)), MORE: ((0,), (1, 2))}
 #: Tokens summed up before they are sent, and entries meant for a segment.
 AT_ONCE, PER_SEGMENT = 1_000_000, 500_000
 #: The largest model that is broadcast.
@@ -93,21 +99,36 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _probes(keys: np.ndarray, level: int, i: int, bits: np.ndarray | int) -> np.ndarray:
-    a = mix(keys + _LEVELS[level])
-    step = (a >> _U(32)) | _U(1)
-    return ((a + _U(i) * step * _U(0x9E3779B97F4A7C15)) >> _U(1)) % bits
+def _blocks(keys: np.ndarray, level: int, blocks: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each key at a level, of less than 2**32 blocks, and its hash."""
+    h = mix(keys + _LEVELS[level])
+    return (h >> _U(32)) * blocks >> _U(32), h
+
+
+def _probes(level: int) -> int:
+    return PROBES if level == 1 else MORE
+
+
+def _bits_of(h: np.ndarray, words: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each word that is looked at, its number in the block and two bits of it:
+    fifteen bits of a hash, the low ones of h for the first three words."""
+    more = mix(h + _U(1)) if words[-1] > 2 else h
+    for i in words:
+        part = (h if i < 3 else more) >> _U(15 * (i % 3))
+        yield part & _U(7), (part >> _U(3)) & _U(63), (part >> _U(9)) & _U(63)
 
 
 def _filter(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Bits of a filter that holds each key at all levels up to its count's."""
     levels = level_of(counts) if len(counts) else np.empty(0, np.int64)
-    size = max(64, int(levels.sum() * BITS) // 64 * 64 + 64)
-    bits = np.zeros(size, bool)
+    entries = len(levels) * PROBES + int((levels - 1).sum()) * MORE
+    blocks = int(entries * BITS) // 512 + 1
+    bits = np.zeros(blocks * 512, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        held = keys[levels >= level]
-        for i in range(PROBES):
-            bits[_probes(held, level, i, _U(size)).astype(np.int64)] = True
+        block, h = _blocks(keys[levels >= level], level, _U(blocks))
+        for word, one, two in _bits_of(h, sum(_ROUNDS[_probes(level)], ())):
+            at = block * _U(512) + word * _U(64)
+            bits[(at + one).astype(np.int64)] = bits[(at + two).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -205,50 +226,73 @@ class ModelBlock:
         self._shift = shift
         self._words = np.frombuffer(words, _U)
         self._counts = np.frombuffer(counts, np.uint32 if len(counts) < len(words) else np.int64)
-        self._bits = np.frombuffer(bits, np.uint8)
+        self._bits = np.frombuffer(bits, _U)
         self._size = np.zeros((1 << shift) + 1, _U)
         self._start = np.zeros((1 << shift) + 1, _U)
         for segment, n, at in zip(segments, sizes, np.append(0, np.cumsum(sizes))):
-            self._size[segment], self._start[segment] = n * 8, at * 8
+            self._size[segment], self._start[segment] = n // 64, at // 8
 
     def counts(self, words: np.ndarray) -> np.ndarray:
-        """Exact counts of words; 0 for what these segments don't hold."""
+        """Exact counts of distinct words; 0 for what these segments don't hold."""
         if not len(self._words):
             return np.zeros(len(words), np.int64)
-        some, back = np.unique(words, return_inverse=True)
-        at = np.minimum(np.searchsorted(self._words, some), len(self._words) - 1)
-        return np.where(self._words[at] == some, self._counts[at].astype(np.int64), 0)[back]
+        at = np.minimum(np.searchsorted(self._words, words), len(self._words) - 1)
+        return np.where(self._words[at] == words, self._counts[at].astype(np.int64), 0)
 
     def levels(self, pairs: np.ndarray) -> np.ndarray:
-        """The levels up to which the filter holds the pairs."""
+        """The levels up to which the filter holds distinct pairs."""
         out = np.zeros(len(pairs), np.uint8)
         segment = (pairs >> _U(64 - self._shift)).astype(np.int64)
         live = np.flatnonzero(self._size[segment] > 0)
+        keys, size, start = pairs[live], self._size[segment[live]], self._start[segment[live]]
         for level in range(1, 256):
-            for i in range(PROBES):
-                if not len(live):
-                    return out
-                where = segment[live]
-                bit = _probes(pairs[live], level, i, self._size[where]) + self._start[where]
-                live = live[(self._bits[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 > 0]
+            if not len(live):
+                break
+            block, h = _blocks(keys, level, size)
+            line = start + block * _U(8)
+            left = np.arange(len(live))
+            for words in _ROUNDS[_probes(level)]:
+                held = np.ones(len(left), _U)
+                for word, one, two in _bits_of(h, words):
+                    found = self._bits[(line + word).view(np.int64)]
+                    held &= (found >> one) & (found >> two)
+                kept = np.flatnonzero((held & _U(1)).view(np.int64))
+                if len(kept) < len(left):
+                    left, line, h = left[kept], line[kept], h[kept]
+            live, keys, size, start = live[left], keys[left], size[left], start[left]
             out[live] = level
         return out
 
 
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes, and the number of each one among them."""
+    coded = pa.array(hashes.view(np.int64)).dictionary_encode()
+    return coded.dictionary.to_numpy().view(_U), coded.indices.to_numpy()
+
+
 RESULT = "n_tokens long, n_known long, base_score double, score double"
 _KIND = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scores(c1: np.ndarray, q2: np.ndarray, end: int, starts: np.ndarray, n: int, v: int, weight: float) -> list[tuple]:
-    """The results of texts end to end, from the counts of their tokens, the levels
-    of their bigrams and the count of the end."""
+#: The least count of each level.
+_LEAST = least_count(np.arange(256))
+
+
+def _scores(words: np.ndarray, place: np.ndarray, c1: np.ndarray, pair: np.ndarray, q2: np.ndarray, starts: np.ndarray, n: int, v: int, weight: float) -> list[np.ndarray]:
+    """n_tokens, n_known, base_score and score of texts end to end. c1 are counts of
+    the distinct words, q2 levels of the distinct bigrams; place and pair number the
+    word and the bigram of each token. Logarithms are taken once a distinct one."""
+    end = int(np.flatnonzero(words == END)[0]) if len(words) else 0
+    before = np.append(end, place[:-1])[: len(place)]
+    before[starts[:-1]] = end
+    some = np.zeros(len(q2), np.int64)
+    some[pair] = np.arange(len(pair))  # a token of each bigram
     p1 = (c1 + 0.5) / (n + 0.5 * (v + 1))
-    context = np.empty_like(c1)
-    context[1:] = c1[:-1]
-    context[starts[:-1]] = end
-    p2 = np.minimum(least_count(q2.astype(np.int64)), context) / np.maximum(context, 1)
-    base, best = np.log10(p1), np.log10(np.where(context > 0, (1 - weight) * p1 + weight * p2, p1))
-    return [(int(b - a), int((c1[a:b] > 0).sum()), float(base[a:b].sum()), float(best[a:b].sum())) for a, b in zip(starts, starts[1:])]
+    context, least = c1[before[some]], p1[place[some]]
+    p2 = np.minimum(_LEAST[q2], context) / np.maximum(context, 1)
+    best = np.log10(np.where(context > 0, (1 - weight) * least + weight * p2, least))
+    sums = [(c1 > 0)[place].astype(np.int64), np.log10(p1)[place], best[pair]]
+    return [np.diff(starts), *(np.add.reduceat(x, starts[:-1]) if len(x) else x for x in sums)]
 
 
 def score(docs: DataFrame, model: DataFrame, *, text: str = "text", weight: float = WEIGHT, block_bytes: int = BLOCK_BYTES, path: str | None = None) -> DataFrame:
@@ -295,15 +339,16 @@ def _look_up(shared, n: int, v: int, weight: float):
     @F.arrow_udf(f"struct<{RESULT.replace(' ', ': ').replace(',:', ',')}>")
     def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         block = ModelBlock(*shared.value) if shared.value else None
-        end = block.counts(np.array([END]))[0] if block else 0
         for texts in batches:
-            out = []
+            out = [np.empty(0, t) for t in (np.int64, np.int64, np.float64, np.float64)]
             for _, _, words, at in word_hashes(texts):
                 tokens, before, starts = _tokens(words, at)
-                c1 = block.counts(tokens) if block else np.zeros(len(tokens), np.int64)
-                q2 = block.levels(_pair(before, tokens)) if block else np.zeros(len(tokens), np.uint8)
-                out += [dict(zip(_KIND.names, x)) for x in _scores(c1, q2, end, starts, n, v, weight)]
-            yield pa.array(out, _KIND)
+                names, place = _distinct(tokens)
+                pairs, pair = _distinct(_pair(before, tokens))
+                c1 = block.counts(names) if block else np.zeros(len(names), np.int64)
+                q2 = block.levels(pairs) if block else np.zeros(len(pairs), np.uint8)
+                out = [np.append(x, y) for x, y in zip(out, _scores(names, place, c1, pair, q2, starts, n, v, weight))]
+            yield pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(out, _KIND)], fields=list(_KIND))
 
     # Not deterministic in name, so that no filter copies the call below itself.
     return look_up.asNondeterministic()
@@ -388,9 +433,9 @@ def _ask_segments(rows: DataFrame, model: DataFrame, shift: int, n: int, v: int,
         ones, twos = np.frombuffer(b"".join(answers["c1"]), np.int64), np.frombuffer(b"".join(answers["q2"]), np.uint8)
         if len(ones) != len(names) or len(twos) != len(some):
             raise RuntimeError("a parcel misses answers")
-        found = _scores(ones[place], twos[back], int(ones[np.searchsorted(names, END)]), at, n, v, weight)
+        found = _scores(names, place, ones, back, twos, at, n, v, weight)
         digests = np.frombuffer(r["digests"], np.int64).reshape(-1, 2)
-        return pd.DataFrame([(a, b, *x) for (a, b), x in zip(digests.tolist(), found)], columns=["h1", "h2", *_KIND.names])
+        return pd.DataFrame({"h1": digests[:, 0], "h2": digests[:, 1], **dict(zip(_KIND.names, found))})
 
     asked = parcels.select("parcel", "words", "tokens", "starts").mapInArrow(split, "segment int, copy int, parcel long, asked binary, pairs binary")
     held = model.select("segment", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "words", "counts", "filter")
