@@ -3,7 +3,7 @@ be written ``\\1``. Parameters: c (case), i (no case), m, s; e takes group 1."""
 
 import re
 
-from tarn.functions.registry import constant, register, same
+from tarn.functions.registry import bound, constant, register, same
 
 same("regexp_count")
 
@@ -62,7 +62,15 @@ def _replace(args: list[str]) -> str:
 
 def _instr(args: list[str]) -> str:
     pattern, extract = _pattern(args, 5)
-    return f"tarn_regexp_instr({args[0]}, {pattern}, {_arg(args, 2, '1')}, {_arg(args, 3, '1')}, {_arg(args, 4, '0')}, {_group(args, 6, extract)})"
+    start, nth, after, group = _arg(args, 2, "1"), _arg(args, 3, "1"), _arg(args, 4, "0"), _group(args, 6, extract)
+    if group.strip() != "0":
+        return f"tarn_regexp_instr({args[0]}, {pattern}, {start}, {nth}, {after}, {group})"
+    # What lies before the n-th match: as many gaps, and one match less.
+    sizes = "aggregate(slice({%s}, 1, %s), 0, (a, x) -> a + length(x))"
+    place = f"{{start}} + {sizes % ('gaps', '{nth}')} + {sizes % ('found', '{nth} - 1 + if({after} = 0, 0, 1)')}"
+    text = args[0] if start.strip() == "1" else f"substr({args[0]}, {start})"
+    body = f"if({{found}} IS NULL, NULL, if(size({{found}}) < {{nth}}, 0L, cast({place} as bigint)))"
+    return bound(body, found=f"regexp_extract_all({text}, {pattern}, 0)", gaps=f"split({text}, {pattern}, -1)", start=f"cast({start} as int)", nth=f"cast({nth} as int)", after=f"cast({after} as int)")
 
 
 register("regexp_substr", _substr)

@@ -168,6 +168,11 @@ _values("values_strings", "supplier", "s_suppkey", [
     ("decode(decrypt_raw(unhex(encrypt_raw(to_binary(hex_encode(s_name)), unhex('000102030405060708090A0B0C0D0E0F'), unhex('0102030405060708090A0B0C')):ciphertext), unhex('000102030405060708090A0B0C0D0E0F'), unhex('0102030405060708090A0B0C'), NULL, 'AES-GCM', unhex(encrypt_raw(to_binary(hex_encode(s_name)), unhex('000102030405060708090A0B0C0D0E0F'), unhex('0102030405060708090A0B0C')):tag)), 'utf-8')", "s_name"),
     ("regexp_extract_all(s_name, '[a-z]+')", "'[\"' || array_to_string(regexp_extract_all(s_name, '[a-z]+'), '\",\"') || '\"]'"),
     ("list_element(regexp_match(s_name, '[0-9]+'), 1)", "regexp_extract(s_name, '[0-9]+')"),
+    ("regexp_instr(s_name, '[0-9]')", "CAST(length(regexp_extract(s_name, '^[^0-9]*')) + 1 AS BIGINT)"),
+    ("regexp_instr(concat('ab', s_name, 'ab', s_suppkey, 'ab'), 'ab', 1, 2)", "CAST(length(s_name) + 3 AS BIGINT)"),
+    ("regexp_instr(concat('ab', s_name, 'ab', s_suppkey), 'AB', 2, 1, 1, 'i')", "CAST(length(s_name) + 5 AS BIGINT)"),
+    ("regexp_instr(s_name, '#[a-z]', 1, 1)", "0::BIGINT"),
+    ("regexp_instr(concat('x', s_suppkey), '(x)([0-9]+)', 1, 1, 0, 'e', 2)", "2::BIGINT"),
     ("rlike(s_name, '[A-Za-z]+.*')", "true"),
     ("rlike(s_name, '[a-z]+')", "false"),
     ("s_name LIKE 'Supplier!_%' ESCAPE '!'", "s_name LIKE 'Supplier!_%' ESCAPE '!'"),
