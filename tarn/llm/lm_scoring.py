@@ -11,9 +11,12 @@ Scoring. A model of at most ``block_bytes`` is broadcast, and one pass over the
 texts does it. A bigram's count is found by asking for level 1, 2, ... until one
 is missing, and is taken at the lower end of the level, so quantising never
 gives a context more than its share; a false hit of the filter does, for one
-unseen bigram in 2**PROBES. A token's probability is (1 - weight) * P1 +
-weight * c(v, w) / c(v), P1 the unigram probability
-(c + 0.5) / (N + 0.5 * (V + 1)).
+unseen bigram in some 2**10. A token's probability is, with absolute discounting,
+max(c(v, w) - D, 0) / c(v) + D * c(v)**-SPREAD * P1, P1 the unigram probability
+(c + 0.5) / (N + 0.5 * (V + 1)). The second term gives back what the discount
+takes; the share of a context's distinct followers, by which it is to be given back,
+is taken as c(v)**-SPREAD, so probabilities add up to 1 on average (1.01 over
+contexts as they occur) and not for each context.
 
 A larger model isn't sent to all: the texts' distinct words and bigrams, a
 million tokens at a time (a parcel), go to the segments that can tell their
@@ -59,7 +62,9 @@ AT_ONCE, PER_SEGMENT = 1_000_000, 500_000
 BLOCK_BYTES = 256 << 20
 #: Parcels that ask one copy of a segment.
 PARCELS = 20_000
-WEIGHT = 0.4
+#: What is taken off a bigram's count, and how a context's share of distinct
+#: followers falls with its count: both chosen on training folds.
+DISCOUNT, SPREAD = 0.8, 0.1
 
 _U = np.uint64
 _LEVELS = np.arange(256, dtype=_U) * _U(0xD6E8FEB86659FD93)
@@ -278,7 +283,7 @@ _KIND = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_sco
 _LEAST = least_count(np.arange(256))
 
 
-def _scores(words: np.ndarray, place: np.ndarray, c1: np.ndarray, pair: np.ndarray, q2: np.ndarray, starts: np.ndarray, n: int, v: int, weight: float) -> list[np.ndarray]:
+def _scores(words: np.ndarray, place: np.ndarray, c1: np.ndarray, pair: np.ndarray, q2: np.ndarray, starts: np.ndarray, n: int, v: int, discount: float) -> list[np.ndarray]:
     """n_tokens, n_known, base_score and score of texts end to end. c1 are counts of
     the distinct words, q2 levels of the distinct bigrams; place and pair number the
     word and the bigram of each token. Logarithms are taken once a distinct one."""
@@ -289,13 +294,14 @@ def _scores(words: np.ndarray, place: np.ndarray, c1: np.ndarray, pair: np.ndarr
     some[pair] = np.arange(len(pair))  # a token of each bigram
     p1 = (c1 + 0.5) / (n + 0.5 * (v + 1))
     context, least = c1[before[some]], p1[place[some]]
-    p2 = np.minimum(_LEAST[q2], context) / np.maximum(context, 1)
-    best = np.log10(np.where(context > 0, (1 - weight) * least + weight * p2, least))
+    seen = np.maximum(np.minimum(_LEAST[q2], context) - discount, 0)
+    times = np.maximum(context, 1).astype(np.float64)
+    best = np.log10(np.where(context > 0, seen / times + discount * times**-SPREAD * least, least))
     sums = [(c1 > 0)[place].astype(np.int64), np.log10(p1)[place], best[pair]]
     return [np.diff(starts), *(np.add.reduceat(x, starts[:-1]) if len(x) else x for x in sums)]
 
 
-def score(docs: DataFrame, model: DataFrame, *, text: str = "text", weight: float = WEIGHT, block_bytes: int = BLOCK_BYTES, path: str | None = None) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, *, text: str = "text", discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES, path: str | None = None) -> DataFrame:
     """docs with n_tokens, n_known, train_tokens, base_score and score added."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -305,12 +311,12 @@ def score(docs: DataFrame, model: DataFrame, *, text: str = "text", weight: floa
     shift = total["shift"] or segments_for(0)
     (got,) = unused(docs, "got")
     if (total["bytes"] or 0) <= block_bytes:
-        out = docs.withColumn(got, _look_up(_broadcast_model(model, shift), n, v, weight)(F.col(text).cast("string")))
+        out = docs.withColumn(got, _look_up(_broadcast_model(model, shift), n, v, discount)(F.col(text).cast("string")))
     else:
         whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
         h1, h2 = unused(docs, "h1", "h2")
         rows = docs.select(F.xxhash64(whole).alias("h1"), F.xxhash64(F.lit(1), whole).alias("h2"), whole.alias("text"))
-        found = _ask_segments(rows, model, shift, n, v, weight, path or shared_dir(spark))
+        found = _ask_segments(rows, model, shift, n, v, discount, path or shared_dir(spark))
         names = [f.split()[0] for f in RESULT.split(", ")]
         found = found.groupBy(F.col("h1").alias(h1), F.col("h2").alias(h2)).agg(F.min(F.struct(*names)).alias(got))
         out = docs.withColumns({h1: F.xxhash64(whole), h2: F.xxhash64(F.lit(1), whole)}).join(found, [h1, h2], "left").drop(h1, h2)
@@ -335,7 +341,7 @@ def _broadcast_model(segments: DataFrame, shift: int):
     return segments.sparkSession.sparkContext.broadcast((shift, at, words, counts, bits, sizes) if at else None)
 
 
-def _look_up(shared, n: int, v: int, weight: float):
+def _look_up(shared, n: int, v: int, discount: float):
     @F.arrow_udf(f"struct<{RESULT.replace(' ', ': ').replace(',:', ',')}>")
     def look_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         block = ModelBlock(*shared.value) if shared.value else None
@@ -347,7 +353,7 @@ def _look_up(shared, n: int, v: int, weight: float):
                 pairs, pair = _distinct(_pair(before, tokens))
                 c1 = block.counts(names) if block else np.zeros(len(names), np.int64)
                 q2 = block.levels(pairs) if block else np.zeros(len(pairs), np.uint8)
-                out = [np.append(x, y) for x, y in zip(out, _scores(names, place, c1, pair, q2, starts, n, v, weight))]
+                out = [np.append(x, y) for x, y in zip(out, _scores(names, place, c1, pair, q2, starts, n, v, discount))]
             yield pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(out, _KIND)], fields=list(_KIND))
 
     # Not deterministic in name, so that no filter copies the call below itself.
@@ -397,7 +403,7 @@ def _unpacked(words: bytes, tokens: bytes, starts: bytes) -> tuple[np.ndarray, n
     return names, place, _pair(before, flat), at
 
 
-def _ask_segments(rows: DataFrame, model: DataFrame, shift: int, n: int, v: int, weight: float, path: str) -> DataFrame:
+def _ask_segments(rows: DataFrame, model: DataFrame, shift: int, n: int, v: int, discount: float, path: str) -> DataFrame:
     """(h1, h2, results) of the texts, each segment asked once a parcel."""
     parcels = saved(_parcels(rows), f"{path}/parcels")
     copies = 1 + parcels.count() // PARCELS
@@ -433,7 +439,7 @@ def _ask_segments(rows: DataFrame, model: DataFrame, shift: int, n: int, v: int,
         ones, twos = np.frombuffer(b"".join(answers["c1"]), np.int64), np.frombuffer(b"".join(answers["q2"]), np.uint8)
         if len(ones) != len(names) or len(twos) != len(some):
             raise RuntimeError("a parcel misses answers")
-        found = _scores(names, place, ones, back, twos, at, n, v, weight)
+        found = _scores(names, place, ones, back, twos, at, n, v, discount)
         digests = np.frombuffer(r["digests"], np.int64).reshape(-1, 2)
         return pd.DataFrame({"h1": digests[:, 0], "h2": digests[:, 1], **dict(zip(_KIND.names, found))})
 

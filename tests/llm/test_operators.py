@@ -196,7 +196,7 @@ def test_scores_are_exact_bases_and_smoothed_bigrams(spark, small, small_df):
         assert one[i].n_tokens == len(w) and one[i].n_known == sum(ones[x] > 0 for x in w) and one[i].train_tokens == n
         assert one[i].base_score == pytest.approx(sum(map(math.log10, p1)))
         least = lambda c: math.ceil(1.5 ** (1 + math.floor(math.log(c) / math.log(1.5) + 1e-9) - 1) - 1e-9) if c else 0
-        best = sum(math.log10(0.6 * p + 0.4 * least(twos[a, b]) / ones[a]) if ones[a] else math.log10(p) for a, b, p in zip([None, *w[:-1]], w, p1))
+        best = sum(math.log10(max(least(twos[a, b]) - 0.8, 0) / ones[a] + 0.8 * ones[a] ** -0.1 * p) if ones[a] else math.log10(p) for a, b, p in zip([None, *w[:-1]], w, p1))
         close += abs(one[i].score - best) <= 0.03 * abs(best)
         assert one[i].score >= best - 1e-6
         assert many[i][2:] == pytest.approx(one[i][2:])
@@ -229,6 +229,16 @@ def test_rows_sent_by_training_grow_in_proportion(spark, monkeypatch):
     assert 3 <= sent[1] / sent[0] <= 5
 
 
+def test_texts_that_occur_twice_score_higher(spark, small):
+    """A copy's bigrams are counted twice, which the discount brings out."""
+    docs = [(k, filler(5000 + k, 60)) for k in range(200)] + [(1000 + k, filler(5000 + k, 60)) for k in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = lm_scoring.score(df, lm_scoring.train(df, lm_scoring.shared_dir(spark) + "/m")).collect()
+    mean = {r.doc_id: r.score / r.n_tokens for r in got}
+    once = sorted(mean[k] for k in range(20, 200))
+    assert sum(mean[k] > once[162] for k in range(20)) >= 18
+
+
 def test_unseen_bigrams_seldom_pass_the_filter():
     keys = wh.mix(np.arange(1, 320_001, dtype=np.uint64))
     held, unseen = np.sort(keys[:20_000]), keys[20_000:]
