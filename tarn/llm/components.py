@@ -2,8 +2,9 @@
 
 Nothing is collected but two numbers a round. The edges of each round are
 written to the shared scratch folder, so lineage stays short. A node with very
-many edges costs one row a task for its minimum (partial aggregation), and its
-edges are an equi-join that AQE can split.
+many edges costs one row a task for its minimum (partial aggregation); minima are
+written too, so that its edges meet them in a join of two plain shuffles, which
+AQE can split.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ def _canonical(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, path: str) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), path)
     return _canonical(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
@@ -39,8 +40,9 @@ def components(edges: DataFrame, *, a: str = "a", b: str = "b") -> DataFrame:
     seen, k = None, 0
     while True:
         k += 1
-        now = saved(_small_star(_large_star(now)), f"{path}/{k}")
+        now = saved(_small_star(_large_star(now, f"{path}/least{k}")), f"{path}/{k}")
         remove(spark, f"{path}/{k - 1}")
+        remove(spark, f"{path}/least{k}")
         sign = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if sign == seen:
             break

@@ -14,11 +14,11 @@ get both, so any two sets of resemblance ``threshold`` share a scheme.
    against it (as many rows as holders, not pairs): the estimate, corrected for
    registers that collide by chance, sorts out far ones, and the full sets
    decide. Connected components of these links come first.
-4. Where holders of one key still lie in different components, all that such
-   keys connect is a cluster. Its documents outside the largest component are
-   compared on full sets with all of it, in blocks of bounded size that meet
-   only blocks of fitting set sizes; links are all that a block returns. So no
-   link is lost for want of a common centre, and no pairs are written.
+4. What a key leaves open are its other holders, as far as they lie in different
+   components. Documents that open keys connect are a cluster. Those outside its
+   largest component are compared on full sets with all of it, in blocks of bounded
+   size that meet only blocks of fitting set sizes; links are all that a block
+   returns. So no link is lost for want of a common centre, and no pairs are written.
 
 Defined results: a text without words, or null, has an empty set and is linked
 with nothing; with fewer words than a shingle its whole sequence is one. Rows
@@ -258,15 +258,17 @@ def links(docs: DataFrame, *, shingle: int = 5, percent: int = 80, path: str | N
     tried = tried.join(side("a"), "a").join(side("b"), "b").where(holds("small_a", "large_a", "shingles_a", "small_b", "large_b", "shingles_b"))
     stars = saved(tried.select("a", "b"), f"{path}/stars")
 
+    # The centre's pairs are settled. Of the others those matter whose key still holds
+    # several components.
     labels = saved(_labelled(found, components(stars)), f"{path}/labels")
-    met = holders.select("band", "id").join(labels, "id").groupBy("band", "label").agg(F.lit(1).alias("one"))
-    least = met.groupBy("band").agg(F.min("label").alias("b"), F.max("label").alias("top")).where("b < top").select("band", "b")
-    clusters = components(saved(met.join(least, "band").select(F.col("label").alias("a"), "b").distinct(), f"{path}/met"))
-    clusters = clusters.select(F.col("node").alias("label"), F.col("component").alias("cluster"))
-    counted = labels.groupBy("label").agg(F.count("*").alias("n")).join(clusters, "label")
+    others = holders.where("id <> centre").select("band", "id").join(labels, "id")
+    left = others.groupBy("band").agg(F.min("label").alias("b"), F.max("label").alias("top"), F.min("id").alias("first")).where("b < top").select("band", "first")
+    still = saved(others.join(saved(left, f"{path}/left"), "band").select("id", "label", "first").distinct(), f"{path}/still")
+    clusters = components(still.select(F.col("id").alias("a"), F.col("first").alias("b"))).withColumnsRenamed({"node": "id", "component": "cluster"})
+    rest = saved(still.select("id", "label").distinct().join(clusters, "id"), f"{path}/clustered")
+    counted = rest.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     largest = counted.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("x")).select("cluster", F.col("x.label").alias("main"))
-    about = saved(clusters.join(largest, "cluster").select("label", "cluster", (F.col("label") != F.col("main")).alias("query")), f"{path}/about")
-    rest = _joined(labels, about, ["label"])
+    rest = _joined(rest, largest, ["cluster"]).withColumn("query", F.col("label") != F.col("main")).drop("main")
     rest = rest.join(feats.select("id", "shingles"), "id").withColumn("n", F.length("shingles") / 8)
     # Sets whose sizes differ by more than the threshold can't be linked: classes
     # of sizes within that factor meet themselves and their neighbours.
