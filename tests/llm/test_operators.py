@@ -1,6 +1,7 @@
 """Each operator on odd tables, on an empty one, and against a plain version."""
 
 import math
+import os
 import random
 import zlib
 
@@ -229,6 +230,44 @@ def test_rows_sent_by_training_grow_in_proportion(spark, monkeypatch):
     assert 3 <= sent[1] / sent[0] <= 5
 
 
+def test_segments_are_asked_for_many_parcels_at_once(spark, monkeypatch):
+    """Look-ups grow with the keys, not with parcels times segments."""
+    monkeypatch.setattr(lm_scoring, "AT_ONCE", 3000)
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counting(lm_scoring.ModelBlock):
+        def levels(self, pairs):
+            calls.add(1)
+            return lm_scoring.ModelBlock.levels(self, pairs)
+
+    docs = spark.createDataFrame([(k, filler(6000 + k, 500)) for k in range(200)], "doc_id long, text string").repartition(4)
+    model = lm_scoring.train(docs.where("doc_id % 3 > 0"), lm_scoring.shared_dir(spark) + "/m")
+    one = {r.doc_id: r.score for r in lm_scoring.score(docs, model).collect()}
+    monkeypatch.setattr(lm_scoring, "ModelBlock", Counting)
+    many = {r.doc_id: r.score for r in lm_scoring.score(docs, model, block_bytes=0).collect()}
+    keys = 2 * 200 * 501
+    assert model.count() == 64 and many == pytest.approx(one)
+    assert 64 <= calls.value <= 64 + keys // 3000
+
+
+def test_shuffles_of_a_step_go_with_it(spark):
+    def shuffled():
+        found = [os.path.join(d, x) for top in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString() for d, _, names in os.walk(top) for x in names if x.startswith("shuffle_") and x.endswith(".data")]
+        return sum(os.path.getsize(x) for x in found)
+
+    docs = spark.createDataFrame([(k, filler(7000 + k, 500)) for k in range(200)], "doc_id long, text string")
+    before = shuffled()
+    model = lm_scoring.train(docs, lm_scoring.shared_dir(spark) + "/m")
+    lm_scoring.score(docs, model, block_bytes=0)
+    assert shuffled() - before < 50_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_planes_hold_all_numbers():
+    for x in (np.empty(0, np.uint64), np.array([2**64 - 1, 0, 5], np.uint64), np.arange(70_000, dtype=np.uint32)):
+        assert (lm_scoring._from_planes(lm_scoring._planes(x), x.dtype) == x).all()
+
+
 def test_texts_that_occur_twice_score_higher(spark, small):
     """A copy's bigrams are counted twice, which the discount brings out."""
     docs = [(k, filler(5000 + k, 60)) for k in range(200)] + [(1000 + k, filler(5000 + k, 60)) for k in range(20)]
