@@ -24,6 +24,11 @@ _FRAGMENTS = "transform(cast(parse_json({0}) as array<variant>), v -> to_json(v)
 templates("array_union_agg", _1=f"concat('[', array_join(array_distinct(flatten(collect_list({_FRAGMENTS}))), ','), ']')")
 templates("object_agg", _2="to_json(map_from_entries(collect_list(if({0} IS NULL OR {1} IS NULL, NULL, struct({0}, {1})))))")
 
+#: Aggregates that hold values, counts of values or a sketch for each group.
+LARGE = frozenset("approx_distinct approx_count_distinct approx_median approx_percentile_cont approx_percentile_cont_with_weight array_agg array_union_agg array_unique_agg listagg median mode object_agg percentile_cont percentile_disc string_agg".split())
+#: All aggregates of the dialect.
+AGGREGATES = LARGE | frozenset("any_value avg bit_and bit_or bit_xor bool_and bool_or booland_agg boolor_agg boolxor_agg corr count covar covar_pop covar_samp first_value kurtosis last_value max mean min regr_avgx regr_avgy regr_count regr_intercept regr_r2 regr_slope regr_sxx regr_sxy regr_syy skewness stddev stddev_pop stddev_samp sum var_pop var_population var_samp var_sample variance variance_pop variance_samp".split())
+
 
 def _listagg(args: list[str]) -> str:
     """Handled together with what follows it, see dialect/rewrite.py."""

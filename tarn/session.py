@@ -151,6 +151,22 @@ class Session:
     def is_rejected(self, name: str) -> bool:
         return is_rejected(name)
 
+    def columns(self, query: str) -> list[tuple[str, str]] | None:
+        """Names and types of a Spark query, None if it isn't one on its own."""
+        try:
+            return self.spark.sql(query).dtypes
+        except AnalysisException:
+            return None
+
+    def is_steady(self, query: str) -> bool:
+        """Whether a Spark query has the same rows each time it is read."""
+        try:
+            plan = self.spark.sql(query)._jdf.queryExecution().analyzed()
+        except AnalysisException:
+            return False
+        nodes = {line.lstrip(" :+-").split(" ")[0] for line in plan.treeString().splitlines()}
+        return plan.deterministic() and not nodes & {"GlobalLimit", "LocalLimit", "Offset", "Sample", "Window"}
+
     def function(self, name: str, args: list[str]) -> str | None:
         if name == "last_query_id":
             n = int(args[0].replace(" ", "")) if args else -1

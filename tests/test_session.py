@@ -230,3 +230,21 @@ def test_pivots_of_too_many_values_raise(s, monkeypatch):
 def test_unknown_functions_are_refused_by_name(s):
     with pytest.raises(DialectError, match="no_such_thing' is not implemented"):
         s.execute("SELECT no_such_thing(1)")
+
+
+def test_distinct_counts_apart_from_percentiles(s):
+    s.execute("""CREATE TABLE d AS SELECT * FROM VALUES ('a', 1, 1.0D), ('a', 1, 2.0D), ('a', 2, 9.0D), ('b', 5, 4.0D), (NULL, NULL, 7.0D), (NULL, 3, 8.0D), ('c', 1, 1.0D) AS t (k, x, y)""")
+    sql = "SELECT k, count(DISTINCT x), median(y) AS m, count(*) + count(DISTINCT x) AS n FROM d WHERE k IS NULL OR k <> 'c' GROUP BY k HAVING count(DISTINCT x) >= 1 AND max(y) > 1 ORDER BY m DESC, k"
+    df = s.execute(sql)
+    assert df.columns == ["k", "count(DISTINCT x)", "m", "n"]
+    assert rows(df) == [(None, 1, 7.5, 3), ("b", 1, 4.0, 2), ("a", 2, 2.0, 5)]
+    # No percentile is kept for each value that is counted.
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan.splitlines() if "percentile(" in line and "x#" in line.split("functions=")[0]]
+    assert rows(s.execute("SELECT count(DISTINCT x) AS n, approx_median(y) AS m FROM d")) == [(4, 4.0)]
+    assert rows(s.execute("SELECT count(DISTINCT x) AS n, median(y) AS m FROM d WHERE y > 100")) == [(0, None)]
+    by = s.to_spark("SELECT upper(k) AS u, array_agg(y), sum(DISTINCT x) AS n FROM d GROUP BY 1")
+    assert "`_distinct`" in by and s.spark.sql(by).columns == ["u", "to_json(collect_list(y))", "n"]
+    # Rows that may differ when they are read again are read once.
+    for source in ("(SELECT k, x, y FROM d LIMIT 3)", "(SELECT k, x, random() AS y FROM d)", "(SELECT k, x, row_number() OVER (ORDER BY k) AS y FROM d)"):
+        assert "`_distinct`" not in s.to_spark(f"SELECT k, count(DISTINCT x) AS n, median(y) AS m FROM {source} AS q GROUP BY k")
