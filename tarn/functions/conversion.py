@@ -40,7 +40,7 @@ def cast(x: str, name: str, params: str = "", *, safe: bool = False) -> str:
     return f"{how}({x} as {kind})"
 
 
-templates("to_array", _1="if(try_parse_json(cast({0} as string)) IS NOT NULL AND ltrim(cast({0} as string)) LIKE '[%', cast({0} as string), to_json(array({0})))")
+templates("to_array", _1="if(ltrim(cast({0} as string)) LIKE '[%' AND try_parse_json(cast({0} as string)) IS NOT NULL, cast({0} as string), to_json(array({0})))")
 templates("to_object", _1="to_json(parse_json({0}))")
 templates("to_variant", _1="cast({0} as string)")
 
@@ -53,6 +53,8 @@ templates("try_to_boolean", _1=_BOOLEAN + " END")
 def _binary(prefix: str):
     def build(args: list[str]) -> str:
         how = constant(args[1]).lower().replace("-", "") if len(args) > 1 else "hex"
+        if prefix and how == "hex":
+            return f"unhex({args[0]})"
         return f"{prefix}to_binary({args[0]}, '{how}')"
 
     return build
@@ -77,6 +79,18 @@ def java_format(fmt: str) -> str:
     return out
 
 
+# Parsers raise and catch an exception for each text they refuse, which takes longer
+# than all else in a row: they are asked only for texts of a shape they may take.
+_MDY = "0*(1[0-2]|[1-9])/0*(3[01]|[12][0-9]|[1-9])/[+-]?[0-9]{4,}"
+_D_MON = "^[0-9]{2}-[^0-9]"
+_WHOLE = "^[\\\\x00-\\\\x20\\\\x7f]*[-+]?[.0-9]+[\\\\x00-\\\\x20\\\\x7f]*$"
+_NUMBER = "^[\\\\x00-\\\\x20]*[-+]?[.\\\\p{Nd}]+([eE][-+]?\\\\p{Nd}+)?[\\\\x00-\\\\x20]*$"
+
+
+def _shaped(shape: str, parsed: str) -> str:
+    return f"if({{s}} RLIKE '{shape}', {parsed}, NULL)"
+
+
 def _typed(x: str, kind: str, parsed: str) -> str:
     """A date or timestamp is cast, so that filters on it reach the scan; else it is
     parsed. The type is known when the query is planned, and one branch is left.
@@ -97,7 +111,8 @@ def _date(how: str):
         x = args[0]
         if len(args) > 1 and constant(args[1]).lower() != "auto":
             return f"{how}to_date({x}, '{java_format(constant(args[1]))}')"
-        found = "coalesce(try_cast({s} as date), try_to_date({s}, 'dd-MMM-yyyy'), try_to_date({s}, 'M/d/yyyy'), cast(timestamp_seconds(try_cast({s} as bigint)) as date))"
+        texts = [_shaped(_D_MON, "try_to_date({s}, 'dd-MMM-yyyy')"), _shaped(f"^{_MDY}$", "try_to_date({s}, 'M/d/yyyy')")]
+        found = f"coalesce(try_cast({{s}} as date), {', '.join(texts)}, cast(timestamp_seconds({_shaped(_WHOLE, 'try_cast({s} as bigint)')}) as date))"
         if not how:
             found = f"if({{s}} IS NULL, NULL, coalesce({found}, raise_error(concat('Date ''', {{s}}, ''' is not recognized'))))"
         return _typed(x, "date", found)
@@ -119,9 +134,10 @@ def _timestamp(kind: str, safe: bool):
         if len(args) > 1 and args[1].strip().startswith("'") and constant(args[1]).lower() != "auto":
             return f"cast({'try_' if safe else ''}to_timestamp({x}, '{java_format(constant(args[1]))}') as {kind})"
         # Whole numbers are seconds, or by their size milli-, micro- or nanoseconds.
-        digits = "try_cast({s} as decimal(38, 9))"
-        epoch = f"timestamp_micros(cast(CASE WHEN abs({digits}) < 31536000000 THEN {digits} * 1000000 WHEN abs({digits}) < 31536000000000 THEN {digits} * 1000 WHEN abs({digits}) < 31536000000000000 THEN {digits} ELSE {digits} / 1000 END as bigint))"
-        found = f"coalesce(try_cast({{s}} as {kind}), cast(try_to_timestamp({{s}}, 'M/d/yyyy H:mm:ss') as {kind}), cast(try_to_timestamp({{s}}, 'dd-MMM-yyyy HH:mm:ss') as {kind}), cast({epoch} as {kind}))"
+        micros = "CASE WHEN abs({n}) < 31536000000 THEN {n} * 1000000 WHEN abs({n}) < 31536000000000 THEN {n} * 1000 WHEN abs({n}) < 31536000000000000 THEN {n} ELSE {n} / 1000 END"
+        epoch = _shaped(_NUMBER, f"timestamp_micros(cast({bound(micros, n='try_cast({s} as decimal(38, 9))')} as bigint))")
+        texts = [_shaped(f"^{_MDY} ", f"cast(try_to_timestamp({{s}}, 'M/d/yyyy H:mm:ss') as {kind})"), _shaped(_D_MON, f"cast(try_to_timestamp({{s}}, 'dd-MMM-yyyy HH:mm:ss') as {kind})")]
+        found = f"coalesce(try_cast({{s}} as {kind}), {', '.join(texts)}, cast({epoch} as {kind}))"
         if not safe:
             found = f"if({{s}} IS NULL, NULL, coalesce({found}, raise_error(concat('Timestamp ''', {{s}}, ''' is not recognized'))))"
         return _typed(x, kind, found)

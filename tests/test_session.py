@@ -2,7 +2,7 @@
 
 import pytest
 
-from tarn.dialect.lexer import DialectError
+from tarn.dialect.lexer import DialectError, parse
 from tarn.operators import relational
 from tarn.operators.flatten import flatten_rows, steps
 from tarn.session import Session
@@ -248,3 +248,20 @@ def test_distinct_counts_apart_from_percentiles(s):
     # Rows that may differ when they are read again are read once.
     for source in ("(SELECT k, x, y FROM d LIMIT 3)", "(SELECT k, x, random() AS y FROM d)", "(SELECT k, x, row_number() OVER (ORDER BY k) AS y FROM d)"):
         assert "`_distinct`" not in s.to_spark(f"SELECT k, count(DISTINCT x) AS n, median(y) AS m FROM {source} AS q GROUP BY k")
+
+
+def test_refused_texts_are_not_parsed(s):
+    """Parsers see only texts of a shape they may take; all others stay what they were."""
+    texts = {"x": None, "2020-02-30": None, "1/2/2020": "2020-01-02", "01/02/02020": None, "001/02/2020": "2020-01-02", "2/30/2020": None, "13/2/2020": None, "1/2/20": None, "05-mar-2020": "2020-03-05", "5-Mar-2020": None, "31-Feb-2020": None, " 86400 ": "+86400-01-01", " 12 ": "1970-01-01", "-1": "1969-12-31", "1x": None, "": None}
+    values = ", ".join(f"('{t}')" for t in texts)
+    got = rows(s.execute(f"SELECT t, cast(try_to_date(t) AS varchar) FROM VALUES {values} AS v (t)"))
+    assert dict(got) == texts
+    times = {"x1": None, "1e3": "1970-01-01 00:16:40", "1600000000.5": "2020-09-13 12:26:40.5", "1600000000000": "2020-09-13 12:26:40", "1/2/2020 3:04:05": "2020-01-02 03:04:05", "1/2/2020 3:4:5": None, "2/30/2020 3:04:05": None, "05-Mar-2020 01:02:03": "2020-03-05 01:02:03", "٣": "1970-01-01 00:00:03", ".": None}
+    values = ", ".join(f"('{t}')" for t in times)
+    got = rows(s.execute(f"SELECT t, cast(try_to_timestamp_ntz(t) AS varchar) FROM VALUES {values} AS v (t)"))
+    assert dict(got) == times
+    assert rows(s.execute("SELECT hex_encode(try_to_binary('4aB')), try_to_binary('zz'), to_array('[1'), to_array(' [1]')")) == [("04AB", None, '["[1"]', " [1]")]
+    # Each parser stands behind a test of the text's shape, and a number is read once.
+    text = s.expression(parse("try_to_timestamp(t)"))
+    assert text.count("try_to_timestamp(") == text.count(" RLIKE ") - 1 == 2 and text.count("as decimal") == 1
+    assert s.expression(parse("try_to_date(t)")).count(" RLIKE ") == 3
